@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold one operator each, with its QUERIES and ORACLES.
-MODULES = ("token_counts", "packing")
+MODULES = ("token_counts", "packing", "quality")
 
 
 def registered(what: str) -> dict:
