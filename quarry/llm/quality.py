@@ -87,8 +87,11 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     names = list(RATIOS)
     own = sketches.where("_level = 0").select("_lang", "_source", F.col("_rows").alias("_rows0"), *[F.col(r).alias(f"{r}0") for r in names])
     lang = sketches.where("_level = 1").select(F.col("_lang").alias("_lang1"), F.col("_rows").alias("_rows1"), *[F.col(r).alias(f"{r}1") for r in names])
-    every = sketches.where("_level = 3").select(F.lit(1).alias("_one"), *[F.col(r).alias(f"{r}3") for r in names])
-    both = own.join(lang, F.col("_lang").eqNullSafe(F.col("_lang1"))).withColumn("_any", F.lit(1)).join(every, F.col("_any") == F.col("_one"))
+    every = sketches.where("_level = 3").first()  # one row, or none for an empty table
+    both = own.join(lang, F.col("_lang").eqNullSafe(F.col("_lang1")))
+    for r in names:
+        whole = every[r] if every and every[r] else [None] * 3
+        both = both.withColumn(f"{r}3", F.array(*[F.lit(x).cast("double") for x in whole]))
     out: list[Column] = [F.col("_lang"), F.col("_source")]
     for r, (slack, low_too) in RATIOS.items():
         q = F.when(F.col("_rows0") >= MIN_GROUP, F.col(f"{r}0")).when(F.col("_rows1") >= MIN_GROUP, F.col(f"{r}1")).otherwise(F.col(f"{r}3"))
@@ -99,17 +102,18 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     return both.select(*out)
 
 
-def verdicts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_groups: int = 100_000) -> DataFrame:
+def verdicts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_groups: int = 100_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed and kept; columns of these names are replaced.
 
     A null or empty text fails the base rules; a null language or source is a
     group like any other; repeated rows get the same verdict; an empty table
     gives an empty table.  The table of fences is broadcast only if it has at
-    most ``most_groups`` rows.
+    most ``most_groups`` rows.  Without ``keep_text`` the text is left out.
     """
     docs = docs.drop(*MEASURES, "base_failed", "kept", "_n_lines")
-    measured = written(with_measures(docs, text_col), "measured")
+    measured = with_measures(docs, text_col)
+    measured = written(measured if keep_text else measured.drop(text_col), "measured")
     limits = written(fences(measured, lang_col, source_col), "fences")
     if limits.count() <= most_groups:
         limits = F.broadcast(limits)
@@ -129,9 +133,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The text is needed for the measures only, and the stored table does without it.
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
-    return verdicts(docs).select("doc_id", *MEASURES, "base_failed", "kept")
+    return verdicts(docs, keep_text=False).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 QUERIES = {"op5_quality": op5_quality}
