@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold one operator each, with its QUERIES and ORACLES.
-MODULES = ("token_counts", "packing", "quality", "line_dedup", "sharding", "bpe", "fingerprints", "licenses", "substrings")
+MODULES = ("token_counts", "packing", "quality", "line_dedup", "sharding", "bpe", "fingerprints", "licenses", "substrings", "jaccard")
 
 
 def registered(what: str) -> dict:
