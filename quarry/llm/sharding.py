@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.store import block_no, documents, written
+from quarry.llm.store import block_no, documents, literal_rows, written
 
 DIMENSIONS = ("lang", "source", "size")
 _DIGIT, _DIGITS = 12, 4
@@ -41,7 +41,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
 def _split(spark: SparkSession, rows: DataFrame, nodes: dict[int, int], ranges: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
     """node: (dimension, largest key of the left half) of the given nodes, each
     of which is to become nodes[n] leaves."""
-    here = rows.join(F.broadcast(spark.createDataFrame([(n,) for n in nodes], "_node int")), "_node")
+    here = rows.join(F.broadcast(literal_rows(spark, [(n,) for n in nodes], "_node int")), "_node")
     k = range(len(DIMENSIONS))
     stats = here.groupBy("_node").agg(F.sum("size").alias("bytes"), *[f(F.get("_at", F.lit(d))).alias(f"{f.__name__}{d}") for d in k for f in (F.min, F.max)]).collect()  # one row a node
     state = {}
@@ -51,7 +51,7 @@ def _split(spark: SparkSession, rows: DataFrame, nodes: dict[int, int], ranges:
         state[s["_node"]] = (width.index(max(width)), 0, s["bytes"] * (m // 2) / m)
     for digit in range(_DIGITS):
         low = _DIGIT * (_DIGITS - 1 - digit)
-        at = F.broadcast(spark.createDataFrame([(n, *x) for n, x in state.items()], "_node int, _dim int, _prefix long, _need double"))
+        at = F.broadcast(literal_rows(spark, [(n, *x) for n, x in state.items()], "_node int, _dim int, _prefix long, _need double"))
         keyed = rows.join(at, "_node").withColumn("_key", F.get("_at", F.col("_dim")) * (1 << 32) + F.col("_tie"))
         keyed = keyed.where(F.shiftright("_key", low + _DIGIT) == F.col("_prefix"))
         sums = keyed.groupBy("_node", "_need", F.shiftright("_key", low).alias("_bin")).agg(F.sum("size").alias("_w"))
@@ -77,13 +77,13 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
     root = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(F.get("_at", F.lit(d))).alias(f"{f.__name__}{d}") for d in k for f in (F.min, F.max)]).first()
     leaves = shards or max(1, -(-(root["bytes"] or 0) // target_bytes))
     ranges = [(root[f"min{d}"] or 0, root[f"max{d}"] or 0) for d in k]
-    rows = rows.withColumn("_node", F.lit(0))
+    rows = rows.withColumn("_node", F.least(F.col("size"), F.lit(0)).cast("int"))  # 0 (sizes are 1 and more), but no constant
     # A node's number is the first of its shards, so that leaves are numbered as they lie.
     open_nodes = {0: leaves} if root["n"] else {}
     while open_nodes := {n: m for n, m in open_nodes.items() if m > 1}:
         cuts = _split(spark, rows, open_nodes, ranges)
         step = [(n, d, key, n + m // 2) for n, m in open_nodes.items() if n in cuts for d, key in [cuts[n]]]
-        at = F.broadcast(spark.createDataFrame(step, "_node int, _dim int, _cut long, _right int"))
+        at = F.broadcast(literal_rows(spark, step, "_node int, _dim int, _cut long, _right int"))
         key = F.get("_at", F.col("_dim")) * (1 << 32) + F.col("_tie")
         rows = rows.join(at, "_node", "left").withColumn("_node", F.when(key > F.col("_cut"), F.col("_right")).otherwise(F.col("_node"))).drop("_dim", "_cut", "_right")
         open_nodes = {a: b for n, m in open_nodes.items() for a, b in ((n, m // 2), (n + m // 2, m - m // 2))}

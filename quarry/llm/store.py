@@ -57,3 +57,10 @@ def blocks_of(df: DataFrame, rows_per_block: int = 50_000) -> int:
 
 def block_no(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers made by the JVM alone, for native operators."""
+    fields = [f.split() for f in schema.split(",")]
+    values = ", ".join("(" + ", ".join(f"CAST({v!r} AS {kind})" for v, (_, kind) in zip(row, fields)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
