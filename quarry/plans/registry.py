@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_calibrated"
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_text", "q_urls")
 
 
 def _all(what: str) -> dict:
