@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +52,12 @@ def in_list(c: Column | str, values: Iterable[str]) -> Column:
     return col(c).isin(list(values))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once for a row: an expression
+    that a lambda mentions would be worked out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # The same for DuckDB.
 
 
