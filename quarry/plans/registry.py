@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_calibrated"
-MODULES: tuple[str, ...] = ("q_text", "q_urls", "q_rank", "q_pages")
+MODULES: tuple[str, ...] = ("q_text", "q_urls", "q_rank", "q_pages", "q_state", "q_verify")
 
 
 def _all(what: str) -> dict:
