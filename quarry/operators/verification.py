@@ -39,7 +39,7 @@ def thin(queries: DataFrame, passages: DataFrame, pages: DataFrame) -> DataFrame
 def answer_presence(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, shape and presence: not_applicable, present or absent."""
     shaped = queries.select("query_id", "query", u.answer_shape("query").alias("shape"))
-    carried = passages.join(shaped, "query_id").groupBy("query_id").agg(F.bool_or(u.carries_answer("query", "shape", F.concat_ws(" ", "source_title", "text"))).alias("carried"))
+    carried = passages.select("query_id", "text", "source_title").join(shaped, "query_id").groupBy("query_id").agg(F.bool_or(u.carries_answer("query", "shape", F.concat_ws(" ", "source_title", "text"))).alias("carried"))
     verdict = F.when(F.col("shape") == "not_value_seeking", F.lit("not_applicable")).when(F.col("carried"), F.lit("present")).otherwise(F.lit("absent"))
     return shaped.join(carried, "query_id", "left").select("query_id", "shape", verdict.alias("presence"))
 
