@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions import dom
 from quarry.functions import pages as p
@@ -16,13 +17,13 @@ from quarry.options import SearchOptions
 MAX_CHARS = 30_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for html in batches:
         yield html.map(lambda x: dom.markdown(x or ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _dom_title(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for html in batches:
         yield html.map(lambda x: dom.dom_title(x or ""))

@@ -81,7 +81,7 @@ def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], tex
 
 def with_checked_vectors(df: DataFrame, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
-    bad = F.size(v).isin(0, -1) | F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.size(v).isin(0, -1) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.withColumn(vector_col, F.when(bad, F.raise_error(F.lit("embedder returned an empty or non-finite vector"))).otherwise(v))
 
 
