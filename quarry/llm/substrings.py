@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.store import documents, id_and_text, written
 from quarry.llm.wordhash import Filter, WordHashes, signed, sliding_min, window_hashes
@@ -215,7 +216,6 @@ def without_repeats(docs: DataFrame, digest: bool = False, width: int = WINDOW,
     an id neither lose words nor make others lose them; rows of one id do not
     repeat each other; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     found = repeats(docs, width, gram, hot_strings, id_col, text_col)
     drop = [c for c in ("n_words", "n_removed") if c in docs.columns and c not in (id_col, text_col)]
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) if digest else docs.drop(*drop)
@@ -255,7 +255,8 @@ def without_repeats(docs: DataFrame, digest: bool = False, width: int = WINDOW,
 
     if digest:
         return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    schema = spark.createDataFrame([], joined.schema).drop("_runs").withColumn(own_text, F.lit("").cast("string")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    kinds = [StructField(f.name, StringType() if f.name == own_text else f.dataType) for f in joined.schema.fields[:-1]]
+    schema = StructType([*kinds, StructField("n_words", LongType()), StructField("n_removed", LongType())])
     return joined.mapInArrow(cut, schema)
 
 
