@@ -1,40 +1,13 @@
-"""Tables that cut a plan's lineage, kept where every executor can read them.
-
-A long job survives the loss of executors if what it has worked out lies in
-the shared folder that the cluster names in ``spark.checkpoint.dir``.  Only
-where that setting is absent (tests, a laptop) is a temporary folder used.
-"""
+"""What the operators share: their input columns, blocks, and written tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _own_folder, True)
-    return f"file://{_own_folder}"
+from quarry.store import shared_folder, written
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` after one pass, as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["block_no", "documents", "id_and_text", "literal_rows", "shared_folder", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +23,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def blocks_of(df: DataFrame, rows_per_block: int = 50_000) -> int:
-    """How many blocks keep a block at about ``rows_per_block`` rows."""
-    return max(1, -(-df.count() // rows_per_block))
-
-
 def block_no(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
