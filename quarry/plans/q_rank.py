@@ -89,7 +89,7 @@ c AS (SELECT doc_id, i AS passage_index, array_to_string(words[i * {step} + 1:i
       FROM w, unnest(range(CASE WHEN len(words) = 0 THEN 0 WHEN len(words) <= {SIZE} THEN 1 ELSE ceil((len(words) - {SIZE}) / {step}.0)::BIGINT + 1 END)) AS t(i))"""
 
 
-_ANCHORED = {1: ["licensed", "apache", "license", "2.0"], 2: ["released", "mit", "license", "thentien"], 3: [], 4: ["gnu", "general", "public", "license"]}
+_ANCHORED = {1: ["licensed", "apache", "license", "version", "2.0"], 2: ["released", "under", "mit", "license", "thentien"], 3: [], 4: ["gnu", "general", "public", "license"]}
 _Q = f"q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {sql_string(q)})' for i, q in ASKED)}) AS t(query_id, query))"
 _BM25 = f"""{_chunk_sql("WHERE lang = 'en'")}, {_Q},
 p AS (SELECT query_id, query, doc_id, passage_index, text, {sql_words('lower(text)')} AS tokens FROM c, q),
@@ -100,7 +100,7 @@ df AS (SELECT query_id, term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY qu
 s AS (SELECT tf.query_id, doc_id, passage_index, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)) ORDER BY pos) AS score
       FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY tf.query_id, doc_id, passage_index)"""
 _CALIBRATED = f"""{_BM25}, a AS (SELECT * FROM (VALUES {", ".join(f"({i}, [{', '.join(map(sql_string, x))}]::VARCHAR[])" for i, x in _ANCHORED.items())}) AS t(query_id, anchors)),
-x AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score AS raw, s.score / max(s.score) OVER (PARTITION BY s.query_id) AS share,
+x AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score AS raw, CASE WHEN max(s.score) OVER (PARTITION BY s.query_id) > 1.1920929e-07 THEN s.score / max(s.score) OVER (PARTITION BY s.query_id) ELSE 0 END AS share,
       len(anchors) > 0 AND NOT coalesce(list_bool_or(list_transform(anchors, lambda t: contains({sql_alower("' ' || p.text")}, t))), false) AS missing
       FROM s JOIN p USING (query_id, doc_id, passage_index) JOIN a USING (query_id)),
 y AS (SELECT *, CASE WHEN missing THEN least(share * 0.3, 0.1) ELSE share END AS final FROM x)"""
