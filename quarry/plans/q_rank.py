@@ -70,7 +70,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = v.where("page_ord = 1").select(F.col("embedding").alias("q"), F.lit(1).alias("query_id"))
     own = _asked(spark, sf_dir).where("query_id = 1 AND passage_index = 0").join(v, "page_ord")
     sparse = ranking.top_for_embedding(ranking.with_bm25(own))
-    both = sparse.join(F.broadcast(q), "query_id").withColumn("dense_score", F.when("to_embed", ranking.cosine("embedding", "q")))
+    both = sparse.join(F.broadcast(q), "query_id").withColumn("dense_score", F.when(F.col("to_embed"), ranking.cosine("embedding", "q")))
     out = ranking.scaled(ranking.blended(both), "hybrid")
     return out.select("query_id", F.col("page_ord").alias("doc_id"), "to_embed", F.round("dense_score", 4).alias("dense_score"), F.round("score", 4).alias("score"))
 
@@ -91,14 +91,20 @@ c AS (SELECT doc_id, i AS passage_index, array_to_string(words[i * {step} + 1:i
 
 _ANCHORED = {1: ["licensed", "apache", "license", "version", "2.0"], 2: ["released", "under", "mit", "license", "thentien"], 3: [], 4: ["gnu", "general", "public", "license"]}
 _Q = f"q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {sql_string(q)})' for i, q in ASKED)}) AS t(query_id, query))"
-_BM25 = f"""{_chunk_sql("WHERE lang = 'en'")}, {_Q},
-p AS (SELECT query_id, query, doc_id, passage_index, text, {sql_words('lower(text)')} AS tokens FROM c, q),
+
+
+def _bm25_sql(where: str = "true") -> str:
+    return f"""{_chunk_sql("WHERE lang = 'en'")}, {_Q},
+p AS (SELECT query_id, query, doc_id, passage_index, text, {sql_words('lower(text)')} AS tokens FROM c, q WHERE {where}),
 n AS (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM p GROUP BY query_id),
 qt AS (SELECT query_id, term, count(*) AS times, min(pos) AS pos FROM (SELECT query_id, unnest({sql_words('lower(query)')}) AS term, generate_subscripts({sql_words('lower(query)')}, 1) AS pos FROM q) GROUP BY query_id, term),
 tf AS (SELECT p.query_id, doc_id, passage_index, len(tokens) AS len, qt.term, qt.times, qt.pos, len(list_filter(tokens, lambda t: t = qt.term)) AS tf FROM p JOIN qt USING (query_id)),
 df AS (SELECT query_id, term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY query_id, term),
 s AS (SELECT tf.query_id, doc_id, passage_index, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)) ORDER BY pos) AS score
       FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY tf.query_id, doc_id, passage_index)"""
+
+
+_BM25 = _bm25_sql()
 _CALIBRATED = f"""{_BM25}, a AS (SELECT * FROM (VALUES {", ".join(f"({i}, [{', '.join(map(sql_string, x))}]::VARCHAR[])" for i, x in _ANCHORED.items())}) AS t(query_id, anchors)),
 x AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score AS raw, CASE WHEN max(s.score) OVER (PARTITION BY s.query_id) > 1.1920929e-07 THEN s.score / max(s.score) OVER (PARTITION BY s.query_id) ELSE 0 END AS share,
       len(anchors) > 0 AND NOT coalesce(list_bool_or(list_transform(anchors, lambda t: contains({sql_alower("' ' || p.text")}, t))), false) AS missing
@@ -109,6 +115,12 @@ QUERIES = {
     "chunk_words": chunk_words, "chunk_paragraphs": chunk_paragraphs, "bm25_topk": bm25_topk, "bm25_calibrated": bm25_calibrated, "entity_penalty": entity_penalty,
     "cosine_topk": cosine_topk, "hybrid_rank": hybrid_rank, "near_duplicates_greedy": near_duplicates_greedy,
 }
+_HIT = lambda xs, w: f"{w} * len(list_filter([{', '.join(map(sql_string, xs))}], lambda t: contains({sql_alower('p.text')}, t)))"
+_HYBRID = f"""{_bm25_sql("query_id = 1 AND passage_index = 0 AND doc_id IN (SELECT vec_id FROM embeddings)")},
+pre AS (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (ORDER BY s.score + {_HIT(_ANCHORED[1], 2.0)} + {_HIT(["licensed", "under", "apache", "license", "version", "2.0"], 0.5)} DESC, s.doc_id) <= 10 AS to_embed
+        FROM s JOIN p USING (query_id, doc_id, passage_index)),
+hy AS (SELECT pre.*, CASE WHEN max(score) OVER () > 1.1920929e-07 THEN score / max(score) OVER () ELSE 0 END AS share, CASE WHEN to_embed THEN list_cosine_similarity(v.embedding::DOUBLE[], q1.embedding::DOUBLE[]) END AS dense
+       FROM pre JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings q1 ON q1.vec_id = 1)"""
 ORACLES = {
     "chunk_words": f"WITH {_chunk_sql()} SELECT doc_id, passage_index::BIGINT AS passage_index, md5(text) AS text_md5 FROM c",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, passage_index)::INT AS rank, doc_id, passage_index::BIGINT AS passage_index, round(score, 6) AS score FROM s QUALIFY rank <= {TOP}",
@@ -116,4 +128,5 @@ ORACLES = {
       doc_id, passage_index::BIGINT AS passage_index, round(final, 6) AS score, round(raw, 6) AS raw_score FROM y WHERE final >= 0.12 QUALIFY rank <= {TOP}""",
     "entity_penalty": f"WITH {_CALIBRATED} SELECT query_id, count(*) FILTER (missing) AS penalised, count(*) AS passages, min(CASE WHEN missing THEN 0.1 ELSE 0.9 END)::DOUBLE AS least FROM y GROUP BY query_id",
     "cosine_topk": f"SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, v.vec_id LIMIT {TOP}",
+    "hybrid_rank": f"WITH {_HYBRID} SELECT query_id, doc_id, to_embed, round(dense, 4) AS dense_score, round(least(greatest(CASE WHEN to_embed THEN 0.65 * least(greatest(dense, 0), 1) + 0.35 * share ELSE share END, 0), 1), 4) AS score FROM hy",
 }

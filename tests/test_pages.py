@@ -85,6 +85,19 @@ def test_bodies(spark):
     assert [r[0] for r in df.select(egress.decoded_body("b", "c", 4)).collect()] == ["café", "éé", "a�"]
 
 
+def test_fetched(spark):
+    from quarry.sources.fetch import fetched
+
+    def get(url):
+        if "boom" in url:
+            raise TimeoutError("late")
+        return url, 404 if "none" in url else 200, b"x" * 20, "text/html"
+
+    urls = spark.createDataFrame([(u, i) for i, u in enumerate(["https://a.org", "ftp://a.org", "https://boom.org", "https://none.org"])], "url string, fetch_ord int")
+    got = fetched(urls, get, 2, 10).orderBy("fetch_ord").collect()
+    assert [r["error"] for r in got] == [None, "unsupported scheme", "TimeoutError: late", "status 404"] and got[0]["body"] == "x" * 10
+
+
 SERPS = {
     "duckduckgo_lite": "<table><tr><td><a class='result-link' href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fe.org%2F'>T</a></td></tr><tr><td class='result-snippet'>S</td></tr></table>",
     "duckduckgo": "<div class='result results_links results_links_deep web-result'><h2 class='result__title'><a class='result__a' href='https://e.org/'>T</a></h2><a class='result__url'>e.org</a><a class='result__snippet'>S</a></div>",
