@@ -14,48 +14,65 @@ task sees its documents in order with one document more.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.pretokens import distinct, mixed
 from quarry.llm.store import documents, id_and_text
+from quarry.llm.wordhash import WordHashes
 
 BITS, RADIUS = 256, 7
-_KEPT_WORDS = 400_000
 _NULL_RANGES = 16
 
 
+_WORDS_AT_ONCE = 100_000
+
+
+def _often(counts: np.ndarray) -> np.ndarray:
+    return np.rint(16 * (1 + np.log2(counts))).astype(np.int64)
+
+
 class Hasher:
     def __init__(self) -> None:
-        self.digests: dict[bytes, bytes] = {}
-
-    def _digest(self, word: bytes) -> bytes:
-        found = self.digests.get(word)
-        if found is None:
-            if len(self.digests) >= _KEPT_WORDS:
-                self.digests.clear()
-            found = self.digests[word] = b"".join(xxhash.xxh64_digest(word, seed) for seed in range(BITS // 64))
-        return found
-
-    def fingerprint(self, text: str) -> bytes:
-        """32 bytes; all zero for a text without words."""
-        counts = Counter(text.encode().split())
-        if not counts:
-            return bytes(BITS // 8)
-        votes = np.zeros(BITS)
-        words = list(counts)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            # Whole numbers, so that the sums do not depend on their order.
-            weights = np.array([len(w) * round(16 * (1 + np.log2(counts[w]))) for w in part], np.float64)
-            bits = np.unpackbits(np.frombuffer(b"".join(map(self._digest, part)), np.uint8).reshape(len(part), -1), axis=1)
-            votes += weights @ bits.astype(np.float64) * 2 - weights.sum()
-        return np.packbits(votes > 0).tobytes()
+        self.hashes = WordHashes()
+
+    def fingerprints(self, texts: list[str]) -> list[bytes]:
+        """32 bytes for each text; all zero for one without words."""
+        out: list[bytes] = []
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(text.encode().split())
+            size += len(held[-1])
+            if size > _WORDS_AT_ONCE:
+                out += self._of(held)
+                held, size = [], 0
+        return out + self._of(held)
+
+    def _of(self, texts: list[list[bytes]]) -> list[bytes]:
+        words = [w for ws in texts for w in ws]
+        firsts, codes = distinct(self.hashes(words)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        keys = self.hashes([words[i] for i in firsts.tolist()])
+        lanes = np.stack([mixed(keys ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(BITS // 64)], axis=1)
+        bits = np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(keys), BITS // 8), axis=1)
+        length = np.array([len(words[i]) for i in firsts.tolist()], np.int64)
+        out, at = [], 0
+        for ws in texts:
+            own, counts = np.unique(codes[at : at + len(ws)], return_counts=True)
+            at += len(ws)
+            votes, total = np.zeros(BITS, np.int64), 0
+            for a in range(0, len(own), 4096):
+                part = own[a : a + 4096]
+                # Whole numbers, so that sums do not depend on their order; einsum, so that no library starts threads.
+                weights = length[part] * _often(counts[a : a + 4096])
+                votes += np.einsum("i,ij->j", weights, bits[part])
+                total += int(weights.sum())
+            out.append(np.packbits(2 * votes > total).tobytes())
+        return out
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -69,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out = [hasher.fingerprint(t).hex() for t in batch.column(1).to_pylist()]
+            out = [f.hex() for f in hasher.fingerprints(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(made, "doc_id long, fingerprint string")
@@ -140,31 +157,31 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, waiting, head = Hasher(), None, None
-
-        def row(doc: tuple, nxt: tuple) -> tuple:
-            (_, key, text, own), (_, _, after, other) = doc, nxt
-            cut = len(text) // 4
-            edited = text[: len(text) - cut] + after[:cut]
-            changed = hasher.fingerprint(edited)
-            return key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own.hex(), changed.hex(), likeness(own, changed), likeness(own, other)
-
-        def record(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
         for batch in batches:
-            out = []
-            for key, text, span, kind in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                doc = (span, key, text, hasher.fingerprint(text))
+            pairs: list[tuple[tuple, tuple]] = []
+            texts = batch.column(1).to_pylist()
+            for key, text, span, kind, own in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), hasher.fingerprints(texts)):
+                doc = (span, key, text, own)
                 if kind == 0:
                     head = doc
                 elif kind == 1 and key is None:
-                    out.append(row(doc, head if head and head[0] == span else doc))
+                    pairs.append((doc, head if head and head[0] == span else doc))
                 else:
                     if waiting and waiting[0] == span:
-                        out.append(row(waiting, doc))
+                        pairs.append((waiting, doc))
                     waiting = doc if kind == 1 else None
-            if out:
-                yield record(out)
+            if pairs:
+                yield record(pairs, hasher)
+
+    def record(pairs: list[tuple[tuple, tuple]], hasher: Hasher) -> pa.RecordBatch:
+        edited = []
+        for (_, _, text, _), (_, _, after, _) in pairs:
+            cut = len(text) // 4
+            edited.append(text[: len(text) - cut] + after[:cut])
+        rows = []
+        for ((_, key, text, own), (_, _, _, other)), new, changed in zip(pairs, edited, hasher.fingerprints(edited)):
+            rows.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), own.hex(), changed.hex(), likeness(own, changed), likeness(own, other)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return dealt.select("doc_id", "text", "_range", "_kind").mapInArrow(followed, ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "string", "string", "string", "double", "double"))))
 
