@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm.pretokens import mixed
 from quarry.llm.store import documents, id_and_text, written
-from quarry.llm.wordhash import Filter, WordHashes, signed, window_hashes
+from quarry.llm.wordhash import Filter, shingle_sets, signed
 
 THIRDS, BAND_RATIO = 3, 1.5
 #: Sets and signatures that a task groups at once; signatures in a bucket;
@@ -39,11 +39,9 @@ SETS_AT_ONCE, SIGNATURES_AT_ONCE, BUCKET, MEMBERS, BLOCK = 60_000, 1_000_000, 1_
 _EMPTY = np.zeros(0, np.uint64)
 
 
-def shingle_set(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's runs of ``width`` words (of all its
-    words, if it has fewer), A-Z in lower case."""
-    words = text.lower().split()
-    return np.unique(window_hashes(hashes(words), min(width, len(words)))) if words else _EMPTY
+def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a column of texts, A-Z in lower case."""
+    return shingle_sets([t.lower() for t in column.cast(pa.binary()).to_pylist()], width)
 
 
 def set_key(features: np.ndarray, seed: int) -> int:
@@ -92,11 +90,9 @@ def sketch(features: np.ndarray) -> bytes:
 
 def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             sizes, keys, checks = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+            for s in sets_of(batch.column(1), width):
                 sizes.append(len(s))
                 keys.append(set_key(s, seed) >> 1 if len(s) else None)
                 checks.append(set_key(s, seed + 1) >> 1)
@@ -123,7 +119,7 @@ def _stars(rows: DataFrame, width: int, seed: int, num: int, den: int, buckets:
     with pivots to connect all of them."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands = WordHashes(), Bands(num, den)
+        bands = Bands(num, den)
         sigs: list[np.ndarray] = []
         nodes: list[int] = []
         seen: set[int] = set()
@@ -151,8 +147,7 @@ def _stars(rows: DataFrame, width: int, seed: int, num: int, den: int, buckets:
 
         total = 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+            for s in sets_of(batch.column(0), width):
                 if not len(s) or (key := set_key(s, seed) >> 1) in seen:
                     continue
                 if len(seen) > 500_000:
@@ -205,11 +200,9 @@ def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, seed:
     wanted = Filter(needed, "node")
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingle_set(text.encode(), hashes, width)
+            for key, text, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(1), width)):
                 if len(s):
                     out.append((key, set_key(s, seed) >> 1, text))
             if out:
@@ -228,12 +221,10 @@ def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, seed:
     both = both.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "kind")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         at, own = None, _EMPTY
         for batch in batches:
             a, b = [], []
-            for pivot, share, node, kind, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                s = shingle_set(text.encode(), hashes, width)
+            for pivot, share, node, kind, s in zip(*(batch.column(k).to_pylist() for k in range(4)), sets_of(batch.column(4), width)):
                 if kind == 0:
                     at, own = (pivot, share), s
                 elif at == (pivot, share):
@@ -257,11 +248,10 @@ def _open_pairs(rows: DataFrame, open_sigs: DataFrame, labels: DataFrame, width:
     wanted = Filter(open_sigs, "sig")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, seen = WordHashes(), Bands(num, den), set()
+        bands, seen = Bands(num, den), set()
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+            for s in sets_of(batch.column(0), width):
                 if not len(s) or (key := set_key(s, seed) >> 1) in seen:
                     continue
                 if len(seen) > 500_000:

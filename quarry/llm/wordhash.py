@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,6 +42,52 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed((total[width:] - total[:-width]) * down[:n])
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES_AT_ONCE = 1_500_000
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many words each text has; no
+    object is made for a word."""
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[joined]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.append(0, edge)
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _powers_to(len(joined) + 1)
+    total = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
+    length = ends - starts
+    hashes = mixed(((total[ends] - total[starts]) * down[starts]) ^ (length.astype(np.uint64) << np.uint64(56)))
+    for i in np.flatnonzero(length > 64).tolist():  # by a hash that no pattern of letters defeats
+        hashes[i] = xxhash.xxh64_intdigest(joined[starts[i] : ends[i]].tobytes())
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, text_end), prepend=0)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``width`` words
+    (of all its words, if it has fewer); empty without words."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= _BYTES_AT_ONCE):
+            size += len(texts[end])
+            end += 1
+        hashes, counts = word_hashes(texts[at:end])
+        windows = window_hashes(hashes, width)
+        first = 0
+        for n in counts.tolist():
+            if n >= width:
+                yield np.unique(windows[first : first + n - width + 1])
+            else:
+                yield window_hashes(hashes[first : first + n], n) if n else hashes[:0]
+            first += n
+        at = end
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     span, out = 1, values
     while span * 2 <= width:
