@@ -27,6 +27,8 @@ from quarry.llm.pretokens import Known, chunks, distinct, gathered
 from quarry.llm.store import block_no, documents, id_and_text, written
 
 CAPACITY = 2048
+#: Blocks over which the pieces of one length are dealt, at least.
+LEAST_BLOCKS = 64
 
 
 class _Encoder:
@@ -190,7 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_block: int = 50_0
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = best_two_fit(histogram, capacity)
     places = spark.createDataFrame(plan, "_n long, _first long, _copies long, _times long, _sequence long, _offset long")
-    n = max(1, -(-sum(histogram.values()) // rows_per_block))
+    n = max(LEAST_BLOCKS, -(-sum(histogram.values()) // rows_per_block))
     order = [c for c in ("doc_id", "piece") if c in pieces.columns]
     blocks = pieces.withColumn("_block", block_no(n, *map(F.col, order)))
     before = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
