@@ -91,14 +91,15 @@ def sketch(features: np.ndarray) -> bytes:
 def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, checks = [], [], []
+            sizes, keys, checks, sketches = [], [], [], []
             for s in sets_of(batch.column(1), width):
+                sketches.append(sketch(s))
                 sizes.append(len(s))
                 keys.append(set_key(s, seed) >> 1 if len(s) else None)
                 checks.append(set_key(s, seed + 1) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64())], names=["doc_id", "n_shingles", "node", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sketch"])
 
-    return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, check long")
+    return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, check long, sketch binary")
 
 
 def _grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,27 +197,26 @@ def _stars(rows: DataFrame, width: int, seed: int, num: int, den: int, buckets:
 
 def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, seed: int, num: int, den: int) -> DataFrame:
     """The ``pairs`` (pivot, member) of nodes that are similar, as (a, b)."""
-    needed = written(pairs.select(F.explode(F.array("pivot", "member")).alias("node")).distinct().join(reps, "node"), "needed")
-    wanted = Filter(needed, "node")
+    needed = written(pairs.select(F.explode(F.array("pivot", "member")).alias("node")).distinct().join(reps, "node").where("rep IS NOT NULL"), "needed")
+    wanted = Filter(needed, "rep")
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.take(pa.array(np.flatnonzero(wanted(ids.view(np.uint64))))) if len(ids) else batch
             out: list[tuple] = []
             for key, text, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(1), width)):
                 if len(s):
                     out.append((key, set_key(s, seed) >> 1, text))
-            if out:
-                maybe = wanted(np.array([o[1] for o in out], np.uint64))
-                out = [o for o, m in zip(out, maybe.tolist()) if m]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 3, (pa.int64(), pa.int64(), pa.string()))], names=["rep", "node", "text"])
 
-    found = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(texts_of, "rep long, node long, text string")
-    texts = written(found.join(needed, ["node", "rep"], "left_semi").dropDuplicates(["node"]), "texts")
+    # Repeated rows of a representative come along; they only repeat a link.
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(texts_of, "rep long, node long, text string")
     # A pivot of very many members is sent to several tasks.
     shares = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).alias("shares"))
     members = pairs.join(shares, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("shares")).alias("share"), F.col("member").alias("node"))
     pivots = members.select("pivot", "share", F.col("pivot").alias("node")).distinct()
-    both = members.withColumn("kind", F.lit(1)).unionByName(pivots.withColumn("kind", F.lit(0))).join(texts, "node")
+    both = members.withColumn("kind", F.lit(1)).unionByName(pivots.withColumn("kind", F.lit(0))).join(needed, "node").join(texts, ["node", "rep"])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "kind")
 
@@ -237,6 +237,16 @@ def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, seed:
     return both.select("pivot", "share", "node", "kind", "text").mapInArrow(compared, "a long, b long")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` whose sizes and sketches allow them to be similar."""
+    word = lambda c, k: F.conv(F.hex(F.substring(F.col(c), 1 + 4 * k, 4)), 16, 10).cast("long")
+    own = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    both = pairs.join(own("pivot"), "pivot").join(own("member"), "member")
+    far = sum((F.bit_count(word("s_pivot", k).bitwiseXOR(word("s_member", k))) for k in range(16)), F.lit(0))
+    sizes = (den * F.least("n_pivot", "n_member") >= num * F.greatest("n_pivot", "n_member"))
+    return both.where(sizes & (far * (den + num) <= (den - num) * (F.col("n_pivot") + F.col("n_member")))).select("pivot", "member")
+
+
 def _labelled(df: DataFrame, labels: DataFrame, node: str, as_: str) -> DataFrame:
     own = labels.select(F.col("node").alias("_n"), F.col("component").alias(as_))
     return df.join(own, F.col(node) == F.col("_n"), "left").drop("_n").withColumn(as_, F.coalesce(as_, node))
@@ -320,7 +330,7 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     seed = 0
     while True:  # until no two sets share a 64-bit key
         sets = written(_sets(rows, width, seed), "sets")
-        nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("sketch").alias("sketch"))
         nodes = written(nodes, "nodes")
         if not nodes.where("c0 <> c1").limit(1).count():
             break
@@ -331,9 +341,16 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     buckets = int(min(1 << 15, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), expected // BUCKET + 1)))
     link = partial(_links, width=width, seed=seed, num=num, den=den)
     stars = written(_stars(rows, width, seed, num, den, buckets), "stars")
-    tried = written(stars.select("pivot", "member").distinct(), "pairs")
-    links = written(link(rows, tried, reps), "links")
+    tried = written(_possible(stars.select("pivot", "member").distinct(), nodes, num, den), "pairs")
+    # Each node is first compared with one pivot, then with those that it is not connected with.
+    first = written(tried.groupBy("member").agg(F.min("pivot").alias("pivot")).select("pivot", "member"), "first")
+    links = written(link(rows, first, reps), "links")
     labels = written(components(links), "labels")
+    second = _labelled(_labelled(tried, labels, "pivot", "p"), labels, "member", "m").where("p <> m").select("pivot", "member")
+    second = written(second.join(first, ["pivot", "member"], "left_anti"), "second")
+    if second.limit(1).count():
+        links = links.unionByName(written(link(rows, second, reps), "links"))
+        labels = written(components(links), "labels")
     apart = _labelled(_labelled(stars, labels, "pivot", "p"), labels, "member", "m").where("p <> m")
     open_sigs = written(apart.select("sig").distinct(), "open")
     if open_sigs.limit(1).count():
