@@ -3,8 +3,10 @@
 Five measures of every whole text come from DataFrame functions alone.
 Mergeable quantile sketches (one pass, grouping sets of language and source,
 language, and everything) give each group its own fences: a ratio may lie
-``reach`` times the distance from the median to the outer quantile beyond that
-quantile, and at least ``slack`` beyond it.  A group with fewer than
+``reach`` times the distance from the median to the nearer quartile from the
+median, and at least ``slack``, so that junk on one side moves no fence out
+before it is half of a group.  A group's fence lies at most ``slack`` beyond
+its language's.  A group with fewer than
 ``min_group`` rows takes its language's fences, a small language the corpus's.
 The fences are joined back to the rows and the verdict is read off.
 """
@@ -20,7 +22,9 @@ BLANK = r"[ \t\n\x0B\f\r]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: ratio: (least distance of a fence from its quantile, whether low values count too)
 RATIOS = {"chars_per_word": (2.0, True), "symbols_per_word": (0.15, False), "dup_line_share": (0.25, False), "repeat_share": (0.10, False)}
+#: The quantiles of the SQL at the end, which junk of 10 % can reach; the operator uses QUARTILES.
 LOW, MIDDLE, HIGH = 0.10, 0.50, 0.90
+QUARTILES = (0.25, 0.50, 0.75)
 REACH, MIN_GROUP, ACCURACY = 4.0, 200, 10_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -76,12 +80,18 @@ def _ratio(name: str) -> Column:
     return F.try_divide(F.col(over[0]).cast("double"), F.col(over[1]).cast("double"))
 
 
+def _fences_of(quartiles: Column, slack: float) -> tuple[Column, Column]:
+    below, mid, above = (F.get(quartiles, F.lit(k)) for k in range(3))
+    reach = F.greatest(F.lit(slack), REACH * F.least(mid - below, above - mid))
+    return mid - reach, mid + reach
+
+
 def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """_lang, _source and the fences of each ratio (low_*, high_*) for every
     language and source met, nulls among them."""
     rows = measured.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *[_ratio(r).alias(r) for r in RATIOS])
     sketches = rows.groupingSets([["_lang", "_source"], ["_lang"], []], "_lang", "_source").agg(
-        F.grouping_id().alias("_level"), F.count("*").alias("_rows"), *[F.percentile_approx(r, [LOW, MIDDLE, HIGH], ACCURACY).alias(r) for r in RATIOS]
+        F.grouping_id().alias("_level"), F.count("*").alias("_rows"), *[F.percentile_approx(r, list(QUARTILES), ACCURACY).alias(r) for r in RATIOS]
     )
     sketches = written(sketches, "sketches")
     names = list(RATIOS)
@@ -94,11 +104,11 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
         both = both.withColumn(f"{r}3", F.array(*[F.lit(x).cast("double") for x in whole]))
     out: list[Column] = [F.col("_lang"), F.col("_source")]
     for r, (slack, low_too) in RATIOS.items():
-        q = F.when(F.col("_rows0") >= MIN_GROUP, F.col(f"{r}0")).when(F.col("_rows1") >= MIN_GROUP, F.col(f"{r}1")).otherwise(F.col(f"{r}3"))
-        low, mid, high = (F.get(q, F.lit(k)) for k in range(3))
-        out.append((high + F.greatest(F.lit(slack), REACH * (high - mid))).alias(f"high_{r}"))
+        of_lang = F.when(F.col("_rows1") >= MIN_GROUP, F.col(f"{r}1")).otherwise(F.col(f"{r}3"))
+        (low, high), (lang_low, lang_high) = (_fences_of(q, slack) for q in (F.when(F.col("_rows0") >= MIN_GROUP, F.col(f"{r}0")).otherwise(of_lang), of_lang))
+        out.append(F.least(high, lang_high + slack).alias(f"high_{r}"))
         if low_too:
-            out.append((low - F.greatest(F.lit(slack), REACH * (mid - low))).alias(f"low_{r}"))
+            out.append(F.greatest(low, lang_low - slack).alias(f"low_{r}"))
     return both.select(*out)
 
 
