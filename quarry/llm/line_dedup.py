@@ -5,8 +5,8 @@ that every site carries arrives as one small sketch a task.  Lines whose
 estimate is near the threshold get exact distinct counts.  A line that is
 spread over ``min_sites`` sites or more is kept in its first document (smallest
 id) and goes from all others.  A document that would lose more than half of its
-characters this way is a copy of another document rather than a page with
-boilerplate; it stays whole, for de-duplication of documents to judge.
+characters this way stays whole, for de-duplication of documents to judge, if
+another row has the same text; so does one that would lose all of them.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str, site_col
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """_id, _t1, _t2, _bad: the line numbers (from 0) that go from the rows of
-    this id and text; rows that lose nothing are absent."""
+    """_id, _t1, _t2, _bad, _copied: the line numbers (from 0) that go from the
+    rows of this id and text, and whether more than one row has the text; rows
+    that lose nothing are absent."""
     lines = _lines(docs, min_chars, id_col, text_col, site_col)
     spread = lines.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_K).alias("_sites"), F.min("_id").alias("_first"))
     spread = spread.withColumn("_n", F.hll_sketch_estimate("_sites"))
@@ -45,7 +46,10 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_C
     exact = hits.where(near).groupBy("_h1", "_h2").agg(F.countDistinct("_site").alias("_exact")).where(F.col("_exact") >= min_sites).select("_h1", "_h2")
     boilerplate = hits.where(~near).unionByName(hits.join(exact, ["_h1", "_h2"], "left_semi").where(near).select(*hits.columns))
     gone = boilerplate.where(~F.col("_id").eqNullSafe(F.col("_first")))
-    return gone.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_bad"))
+    bad = gone.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_bad"))
+    texts = docs.select(*[c.alias(n) for n, c in _row_key(docs, id_col, text_col).items()]).groupBy("_t1", "_t2").agg(F.count("*").alias("_rows"))
+    copies = texts.where("_rows > 1").select("_t1", "_t2", F.lit(True).alias("_copied"))
+    return bad.join(copies, ["_t1", "_t2"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -60,20 +64,21 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     docs = docs.drop("n_lines", "n_removed")
     bad = removals(docs, min_sites, min_chars, id_col, text_col, site_col)
     keys = _row_key(docs, id_col, text_col)
-    rows = docs.withColumns(keys).alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d.*", "b._bad").drop(*keys)
+    rows = docs.withColumns(keys).alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d.*", "b._bad", "b._copied").drop(*keys)
     lines = F.split(F.col(text_col).cast("string"), "\n")
     rows = rows.withColumn("_lines", lines).withColumn("_bad", F.coalesce("_bad", F.array().cast("array<int>")))
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
     rows = rows.withColumn("_kept", F.when(F.size("_bad") > 0, F.filter("_lines", lambda x, i: ~F.array_contains("_bad", i))))
-    copy = 2 * chars(F.col("_kept")) < chars(F.col("_lines"))
-    rows = rows.withColumn("_kept", F.when(~copy, F.col("_kept")))
+    left = chars(F.col("_kept"))
+    whole = (left == 0) | (F.col("_copied") & (2 * left < chars(F.col("_lines"))))
+    rows = rows.withColumn("_kept", F.when(~whole, F.col("_kept")))
     return rows.withColumns(
         {
             text_col: F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")),
             "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
             "n_removed": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
         }
-    ).drop("_lines", "_bad", "_kept")
+    ).drop("_lines", "_bad", "_copied", "_kept")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
