@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.store import documents, written
 
-#: Sites a boilerplate line has, characters it has, and the share of the
+#: Sites a boilerplate line has, characters it has in the SQL at the end (the
+#: operator counts every line with a word), and the share of the
 #: threshold around it in which an estimate is replaced by an exact count (the
 #: standard error of the sketch is 1.6 %).
 MIN_SITES, MIN_CHARS, NEAR, LG_K = 10, 12, 0.2, 12
+WORD = r"[\p{L}\p{N}]"
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
@@ -28,16 +30,16 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
     return {"_id": docs[id_col].cast("long"), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("line"), text)}
 
 
-def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     exploded = docs.select(*[c.alias(n) for n, c in _row_key(docs, id_col, text_col).items()], docs[site_col].cast("string").alias("_site"), F.posexplode(F.split(docs[text_col].cast("string"), "\n")).alias("_pos", "_line"))
-    return exploded.where(F.length("_line") >= min_chars).select("_id", "_t1", "_t2", "_site", "_pos", F.length("_line").alias("_chars"), F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit("line"), "_line").alias("_h2"))
+    return exploded.where(F.col("_line").rlike(WORD)).select("_id", "_t1", "_t2", "_site", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit("line"), "_line").alias("_h2"))
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """_id, _t1, _t2, _bad, _copied: the line numbers (from 0) that go from the
     rows of this id and text, and whether more than one row has the text; rows
     that lose nothing are absent."""
-    lines = _lines(docs, min_chars, id_col, text_col, site_col)
+    lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_K).alias("_sites"), F.min("_id").alias("_first"))
     spread = spread.withColumn("_n", F.hll_sketch_estimate("_sites"))
     candidates = written(spread.where(F.col("_n") >= min_sites * (1 - NEAR)).select("_h1", "_h2", "_first", "_n"), "spread")
@@ -52,7 +54,7 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_C
     return bad.join(copies, ["_t1", "_t2"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs``, the text without its boilerplate lines, with n_lines and
     n_removed; columns of these names are replaced.
 
@@ -62,7 +64,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     table.  A hot line's rows are spread by the join's skew handling.
     """
     docs = docs.drop("n_lines", "n_removed")
-    bad = removals(docs, min_sites, min_chars, id_col, text_col, site_col)
+    bad = removals(docs, min_sites, id_col, text_col, site_col)
     keys = _row_key(docs, id_col, text_col)
     rows = docs.withColumns(keys).alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d.*", "b._bad", "b._copied").drop(*keys)
     lines = F.split(F.col(text_col).cast("string"), "\n")
