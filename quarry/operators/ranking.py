@@ -19,6 +19,7 @@ from quarry.functions import understand as u
 from quarry.functions.expr import alower, core, words
 from quarry.functions.urls import url_key
 from quarry.options import InvalidConfiguration, RankingPolicy
+from quarry.store import written
 
 K1, B = 1.5, 0.75
 ORDER = ("page_ord", "passage_index")
@@ -153,24 +154,51 @@ def rank_column(name: str = "rank") -> Column:
     return F.row_number().over(Window.partitionBy("query_id").orderBy(*by)).alias(name)
 
 
+def _similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: ids of the pairs of sets of a query whose Jaccard similarity is
+    ``threshold`` or more, a before b by ``_order``.
+
+    Such sets share one of their rarest n - ceil(threshold * n) + 1 tokens, and
+    the first one they share leaves enough room for the rest.
+    """
+    each = sets.select("query_id", "_id", "_order", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_t"))
+    freq = each.groupBy("query_id", "_t").agg(F.count("*").alias("_df")).where("_df > 1")
+    # A token of one set alone links nothing, but counts for the places: it comes first.
+    placed = each.join(freq, ["query_id", "_t"], "left").groupBy("query_id", "_id", "_order", "_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "_t"))).alias("_by"))
+    prefix = F.slice("_by", 1, (F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1).cast("int"))
+    rows = placed.select("query_id", "_id", "_order", "_n", F.posexplode(prefix).alias("_at", "_x")).where("_x._df > 1").select("query_id", "_id", "_order", "_n", "_at", F.col("_x._t").alias("_t"))
+    rows = written(rows, "prefixes")
+    a, b = rows.alias("a"), rows.alias("b")
+    room = F.least(F.col("a._n") - F.col("a._at"), F.col("b._n") - F.col("b._at"))
+    near = (F.col("a._order") < F.col("b._order")) & (room + 1e-9 >= threshold / (1 + threshold) * (F.col("a._n") + F.col("b._n")))
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a._t") == F.col("b._t")) & near).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
+    words_of = lambda name: sets.select(F.col("_id").alias(name), F.col("_tokens").alias(f"_{name}"))
+    both = pairs.join(words_of("a"), "a").join(words_of("b"), "b")
+    return both.where(F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b")) >= threshold).select("a", "b")
+
+
 def without_near_duplicates(passages: DataFrame, threshold: float = SAME) -> DataFrame:
     """In the order of scores, a passage goes if its words resemble those of a
-    passage that stays (Jaccard).  A query's passages are few by then: they
-    are folded as one array."""
+    passage that stays (Jaccard).  Similar pairs are found by rare words they
+    share; then, in rounds, passages that no better one is left to remove stay
+    and remove those that resemble them."""
     tokens = F.array_distinct(F.filter(F.transform(words("text"), lambda w: F.lower(core(w))), lambda w: F.octet_length(w) >= 2))
-    ranked = passages.withColumn("_rank", rank_column()).withColumn("_tokens", tokens)
-    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "_tokens"))).alias("_rows"))
-
-    def like(a: Column, b: Column) -> Column:
-        return (F.size(a) > 0) & (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= threshold)
-
-    kept = F.aggregate(
-        "_rows",
-        F.array().cast("array<struct<_rank:int,_tokens:array<string>>>"),
-        lambda acc, p: F.when(F.exists(acc, lambda e: like(p["_tokens"], e["_tokens"])), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-    stay = rows.select("query_id", F.explode(F.transform(kept, lambda e: e["_rank"])).alias("_rank"))
-    return ranked.join(stay, ["query_id", "_rank"]).drop("_rank", "_tokens")
+    own = written(passages.withColumn("_tokens", tokens).withColumn("_id", F.monotonically_increasing_id()), "passages")
+    order = F.struct(-F.col("score"), -F.col("raw_score"), *ORDER, "_id").alias("_order")
+    sets = own.where(F.size("_tokens") > 0).select("query_id", "_id", order, F.array_sort("_tokens").alias("_tokens"))
+    # Of equal sets only the first can stay; it stands for all.
+    firsts = written(sets.groupBy("query_id", "_tokens").agg(F.min("_order").alias("_order")).withColumn("_id", F.col("_order._id")), "firsts")
+    edges = written(_similar(firsts, threshold), "edges")
+    gone = edges.select(F.col("b").alias("_id")).limit(0)
+    while not edges.isEmpty():
+        # The best of the passages left have no better one: there is one at least, so each round takes edges away.
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = written(edges.join(stay, "a", "left_semi").select(F.col("b").alias("_id")).distinct(), "gone")
+        gone = gone.unionByName(out)
+        rest = edges.join(out.withColumnRenamed("_id", "a"), "a", "left_anti").join(out.withColumnRenamed("_id", "b"), "b", "left_anti")
+        edges = written(rest, "edges")
+    kept = firsts.select("_id").join(gone, "_id", "left_anti")
+    return own.where(F.size("_tokens") == 0).unionByName(own.join(kept, "_id", "left_semi").select(*own.columns)).drop("_id", "_tokens")
 
 
 def calibrated(passages: DataFrame, mode: str, policy: RankingPolicy = RankingPolicy(), threshold: float = SAME) -> DataFrame:

@@ -76,10 +76,9 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of the first rank that stay when similar ones go."""
+    """Passages that stay when similar ones of better rank go."""
     scored = ranking.with_bm25(_asked(spark, sf_dir)).withColumn("score", F.col("sparse_score"))
-    best = ranking.scaled(scored, "sparse").withColumn("r", ranking.rank_column()).where("r <= 60").drop("r")
-    return ranking.without_near_duplicates(best).select("query_id", F.col("page_ord").alias("doc_id"), F.col("passage_index").cast("long").alias("passage_index"))
+    return ranking.without_near_duplicates(ranking.scaled(scored, "sparse")).select("query_id", F.col("page_ord").alias("doc_id"), F.col("passage_index").cast("long").alias("passage_index"))
 
 
 def _chunk_sql(where: str = "") -> str:
