@@ -9,13 +9,13 @@ from quarry.functions.expr import sql_alower, sql_string, sql_words
 from quarry.operators import chunking, ranking
 from quarry.options import RankingPolicy
 
-#: Queries over all passages of the English documents.
+#: Queries over all passages of all documents.
 ASKED = [(1, "Licensed under the Apache License, Version 2.0."), (2, "released under the mit license and the thentien"), (3, "of the and to and"), (4, "GNU General Public License")]
 SIZE, OVERLAP, TOP = 150, 30, 10
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").alias("page_ord"), "text", F.lit("").alias("source_title"), F.concat(F.lit("https://example.com/"), "doc_id").alias("source_url"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_ord"), "text", F.lit("").alias("source_title"), F.concat(F.lit("https://example.com/"), "doc_id").alias("source_url"))
     return chunking.passages(docs, SIZE, OVERLAP, "text", paragraphs=False)
 
 
@@ -65,14 +65,16 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first passage of each document with a vector; the query's is vector 1."""
+    """All passages of documents with a vector, which each of them takes; the
+    vector of query n is vector n."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("page_ord"), "embedding")
-    q = v.where("page_ord = 1").select(F.col("embedding").alias("q"), F.lit(1).alias("query_id"))
-    own = _asked(spark, sf_dir).where("query_id = 1 AND passage_index = 0").join(v, "page_ord")
+    asked = F.broadcast(spark.createDataFrame([(i,) for i, _ in ASKED], "query_id long"))
+    q = v.join(asked, F.col("page_ord") == F.col("query_id")).select(F.col("embedding").alias("q"), F.col("query_id").cast("int").alias("query_id"))
+    own = _asked(spark, sf_dir).join(v, "page_ord")
     sparse = ranking.top_for_embedding(ranking.with_bm25(own))
     both = sparse.join(F.broadcast(q), "query_id").withColumn("dense_score", F.when(F.col("to_embed"), ranking.cosine("embedding", "q")))
     out = ranking.scaled(ranking.blended(both), "hybrid")
-    return out.select("query_id", F.col("page_ord").alias("doc_id"), "to_embed", F.round("dense_score", 4).alias("dense_score"), F.round("score", 4).alias("score"))
+    return out.select("query_id", F.col("page_ord").alias("doc_id"), F.col("passage_index").cast("long").alias("passage_index"), "to_embed", F.round("dense_score", 4).alias("dense_score"), F.round("score", 4).alias("score"))
 
 
 def near_duplicates_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
