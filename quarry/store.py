@@ -11,10 +11,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_paths: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster names the folder that its executors share in spark.checkpoint.dir")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, _own_folder, True)
@@ -33,4 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    weakref.finalize(table, _paths.pop, id(table), None)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        if path := _paths.get(id(table)):
+            jvm = table.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
