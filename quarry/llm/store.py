@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.store import shared_folder, written
+from quarry.store import discard, shared_folder, written
 
-__all__ = ["block_no", "documents", "id_and_text", "literal_rows", "shared_folder", "written"]
+__all__ = ["block_no", "discard", "documents", "id_and_text", "literal_rows", "shared_folder", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
