@@ -42,13 +42,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.pretokens import mixed
-from quarry.llm.store import discard, documents, id_and_text, written
+from quarry.llm.store import discard, documents, id_and_text, tidy, written
 from quarry.llm.wordhash import Filter, shingle_sets, signed
 
 BAND_RATIO, RARE, ENOUGH = 1.25, 0.002, 8.0
 #: Sets and signatures that a task groups at once; signatures in a bucket;
-#: members of a pivot compared in one task; rows of a block; bytes of a task.
-SETS_AT_ONCE, SIGNATURES_AT_ONCE, BUCKET, MEMBERS, BLOCK, TASK_BYTES = 60_000, 1_000_000, 1_500_000, 1_000, 2_048, 1 << 26
+#: members of a pivot compared in one task; rows of a block; nodes whose pairs
+#: are listed; bytes of a task.
+SETS_AT_ONCE, SIGNATURES_AT_ONCE, BUCKET, MEMBERS, BLOCK, FEW, TASK_BYTES = 60_000, 1_000_000, 1_500_000, 1_000, 2_048, 32, 1 << 26
 LEAST_PARITIES = 512
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -190,7 +191,7 @@ def _sets(rows: DataFrame, width: int, bits: int) -> DataFrame:
                 sketches.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(rest, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "rest", "sketch"])
 
-    return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, rest long, sketch binary")
+    return rows.mapInArrow(tidy(made), "doc_id long, n_shingles long, node long, rest long, sketch binary")
 
 
 def _named(sets: DataFrame, bits: int) -> tuple[DataFrame, Names]:
@@ -300,10 +301,10 @@ def _stars(rows: DataFrame, width: int, names_of: Names, num: int, den: int, buc
         if sigs:
             yield bucket_done()
 
-    blobs = rows.select("text").mapInArrow(gathered, "bucket int, kind int, x binary, y binary, z binary")
+    blobs = rows.select("text").mapInArrow(tidy(gathered), "bucket int, kind int, x binary, y binary, z binary")
     parts = min(buckets, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16)))
     dealt = blobs.repartition(parts, F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.xxhash64("x"))).sortWithinPartitions("kind", "bucket")
-    return dealt.mapInArrow(met, "sig long, pivot long, member long")
+    return dealt.mapInArrow(tidy(met), "sig long, pivot long, member long")
 
 
 def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, names_of: Names, num: int, den: int, parts: int) -> DataFrame:
@@ -327,7 +328,7 @@ def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, names
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 3, (pa.int64(), pa.int64(), pa.string()))], names=["rep", "node", "text"])
 
     # Repeated rows of a representative come along; they only repeat a link.
-    texts = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(texts_of, "rep long, node long, text string")
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(texts_of), "rep long, node long, text string")
     both = wanted.join(texts, ["node", "rep"]).repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "kind")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +345,7 @@ def _links(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, names
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.select("pivot", "share", "node", "kind", "text").mapInArrow(compared, "a long, b long")
+    return both.select("pivot", "share", "node", "kind", "text").mapInArrow(tidy(compared), "a long, b long")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -357,7 +358,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             keep = [may_link(*row, num, den) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
             yield batch.select(["pivot", "member"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("pivot", "member", "n_pivot", "s_pivot", "n_member", "s_member").mapInArrow(near, "pivot long, member long")
+    return both.select("pivot", "member", "n_pivot", "s_pivot", "n_member", "s_member").mapInArrow(tidy(near), "pivot long, member long")
 
 
 def _labelled(df: DataFrame, labels: DataFrame, node: str, as_: str) -> DataFrame:
@@ -365,15 +366,17 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, as_: str) -> DataFram
     return df.join(own, F.col(node) == F.col("_n"), "left").drop("_n").withColumn(as_, F.coalesce(as_, node))
 
 
-def _open_pairs(rows: DataFrame, open_sigs: DataFrame, labels: DataFrame, width: int, names_of: Names, num: int, den: int, parts: int, buckets: int, block: int) -> DataFrame:
+def _open_pairs(rows: DataFrame, open_sigs: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, names_of: Names, num: int, den: int, parts: int, buckets: int, block: int, few: int) -> DataFrame:
     """pivot, member: all pairs of nodes of an open signature that are not yet
-    connected and that sizes and sketches allow to be similar."""
+    connected and that sizes and sketches allow to be similar.  The pairs of a signature of
+    ``few`` nodes or fewer are made distinct before sketches are looked up;
+    the nodes of others meet in blocks, with their sketches."""
     wanted = Filter(open_sigs, "sig")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for batch in batches:
-            out: list[tuple] = []
+            sigs, own = [_EMPTY], []
             for s in sets_of(batch.column(0), width):
                 if not len(s) or (key := names_of(s)) in seen:
                     continue
@@ -381,16 +384,22 @@ def _open_pairs(rows: DataFrame, open_sigs: DataFrame, labels: DataFrame, width:
                     seen.clear()
                 seen.add(key)
                 sig = _numbered(signatures(s, bands), buckets)
-                hit = sig[wanted(sig)] if len(sig) else sig
-                if len(hit):
-                    own = sketch(s)
-                    out += [(x, key, len(s), own) for x in signed(np.unique(hit)).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["sig", "node", "n", "sketch"])
-
-    met = rows.select("text").mapInArrow(members, "sig long, node long, n long, sketch binary")
-    met = written(_labelled(met.join(open_sigs, "sig", "left_semi").dropDuplicates(["sig", "node"]), labels, "node", "component"), "open-members")
-    size = met.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-    met = met.join(size, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                hit = np.unique(sig[wanted(sig)])
+                sigs.append(hit)
+                own.append(np.full(len(hit), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate([_EMPTY.astype(np.int64), *own]))], names=["sig", "node"])
+
+    met = rows.select("text").mapInArrow(tidy(members), "sig long, node long")
+    met = written(_labelled(met.join(open_sigs, "sig", "left_semi").distinct(), labels, "node", "component"), "open-members")
+    size = met.groupBy("sig").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    met = met.join(size, "sig")
+    node_rows = F.collect_list(F.struct("node", "component"))  # of at most `few` rows
+    later = lambda g, x: F.filter(g, lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"]))
+    pairs_of = lambda g: F.flatten(F.transform(g, lambda x: F.transform(later(g, x), lambda y: F.struct(x["node"].alias("pivot"), y["node"].alias("member")))))
+    small = met.where(F.col("members") <= few).groupBy("sig").agg(node_rows.alias("g")).select(F.explode(pairs_of(F.col("g"))).alias("pair")).select("pair.*").distinct()
+    small = _possible(small, nodes, num, den)
+    met = met.where(F.col("members") > few).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "n", "sketch"), "node")
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     dealt = met.select("sig", "i", "j", "block", "node", "n", "sketch", "component").repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
@@ -426,10 +435,10 @@ def _open_pairs(rows: DataFrame, open_sigs: DataFrame, labels: DataFrame, width:
         if held:
             yield done()
 
-    return dealt.mapInArrow(paired, "pivot long, member long").distinct()
+    return dealt.mapInArrow(tidy(paired), "pivot long, member long").unionByName(small).distinct()
 
 
-def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, key_bits: int = 63, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, few: int = FEW, key_bits: int = 63, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; texts link when
     den * (size of the intersection) >= num * (size of the union).
 
@@ -462,11 +471,12 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     if second.limit(1).count():
         links = links.unionByName(written(link(rows, second, reps), "links"))
         labels = written(components(links), "labels")
-    apart = _labelled(_labelled(stars, labels, "pivot", "p"), labels, "member", "m").where("p <> m")
-    open_sigs = written(apart.select("sig").distinct(), "open")
+    # The one pair of a signature of two nodes has been compared.
+    apart = _labelled(_labelled(stars, labels, "pivot", "p"), labels, "member", "m").groupBy("sig").agg(F.count("*").alias("n"), F.bool_or(F.col("p") != F.col("m")).alias("apart"))
+    open_sigs = written(apart.where("apart AND n > 1").select("sig"), "open")
     discard(stars, first, second)
     if open_sigs.limit(1).count():
-        rest = _open_pairs(rows, open_sigs, labels, width, names_of, num, den, parts, buckets, block)
+        rest = _open_pairs(rows, open_sigs, labels, nodes, width, names_of, num, den, parts, buckets, block, few)
         same: list[Column] = [F.col("t.pivot") == F.col("r.pivot"), F.col("t.member") == F.col("r.member")]
         rest = written(rest.alias("r").join(tried.alias("t"), same, "left_anti"), "rest")
         more = written(link(rows, rest, reps), "links")

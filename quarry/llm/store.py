@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.store import discard, shared_folder, written
 
-__all__ = ["block_no", "discard", "documents", "id_and_text", "literal_rows", "shared_folder", "written"]
+__all__ = ["block_no", "discard", "documents", "id_and_text", "literal_rows", "shared_folder", "slices", "tidy", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +37,28 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     fields = [f.split() for f in schema.split(",")]
     values = ", ".join("(" + ", ".join(f"CAST({v!r} AS {kind})" for v, (_, kind) in zip(row, fields)) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
+
+
+def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of some ``most`` bytes, a row or more each."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over small slices; what it has freed goes back to the system
+    when it ends, as the next task of the worker may be of another kind."""
+
+    @functools.wraps(work)
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(part for batch in batches for part in slices(batch))
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+
+    return worked

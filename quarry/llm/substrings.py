@@ -24,21 +24,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quarry.llm.store import documents, id_and_text, written
-from quarry.llm.wordhash import Filter, WordHashes, signed, sliding_min, window_hashes
+from quarry.llm.store import discard, documents, id_and_text, tidy, written
+from quarry.llm.wordhash import Filter, hashed_texts, signed, sliding_min, window_hashes
 
 WINDOW, GRAM = 50, 16
 #: Windows of one super-k-mer; different strings of a minimiser that one task
 #: sorts; words that a task sorts at once.
-MOST_WINDOWS, HOT_STRINGS, WORDS_AT_ONCE = 256, 2_000, 1_000_000
+MOST_WINDOWS, HOT_STRINGS, WORDS_AT_ONCE = 256, 1_000, 300_000
 
 
-def super_kmers(words: list[bytes], hashes: WordHashes, width: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows) of a text's super-k-mers."""
-    if len(words) < width:
+def super_kmers(hashes: np.ndarray, width: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, windows) of the super-k-mers of a text's word hashes."""
+    if len(hashes) < width:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
-    least = sliding_min(window_hashes(hashes(words), gram), width - gram + 1)
+    least = sliding_min(window_hashes(hashes, gram), width - gram + 1)
     n = len(least)
     new = np.append(True, least[1:] != least[:-1])
     at = np.flatnonzero(new)
@@ -47,10 +47,6 @@ def super_kmers(words: list[bytes], hashes: WordHashes, width: int = WINDOW, gra
     return least[first], first, np.diff(np.append(first, n))
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.split()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of one id and one text are alike in all that follows."""
     return id_and_text(docs, id_col, text_col).withColumn("_t", F.xxhash64("text"))
@@ -58,16 +54,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _repeated(rows: DataFrame, width: int, gram: int) -> Filter:
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                found = np.unique(super_kmers(_words(text), hashes, width, gram)[0])
+            for key, hashes in zip(batch.column(0).to_pylist(), hashed_texts(batch.column(1).cast(pa.binary()).to_pylist())):
+                found = np.unique(super_kmers(hashes, width, gram)[0])
                 out.append(found)
                 ids.append(np.full(len(found), key, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(ids))], names=["minimiser", "doc_id"])
 
-    met = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(minimisers, "minimiser long, doc_id long")
+    met = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(minimisers), "minimiser long, doc_id long")
     both = met.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     return Filter(both, "minimiser")
 
@@ -76,13 +71,13 @@ def _packed(rows: DataFrame, repeated: Filter, width: int, gram: int) -> DataFra
     """doc_id, _t, minimiser, first, packed of super-k-mers that may repeat."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for key, text, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                words = _words(text)
-                least, first, n = super_kmers(words, hashes, width, gram)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for key, text, t, hashes in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), hashed_texts(texts)):
+                least, first, n = super_kmers(hashes, width, gram)
                 keep = np.flatnonzero(repeated(least)) if len(least) else []
+                words = text.split() if len(keep) else []
                 for m, a, k in zip(signed(least[keep]).tolist(), first[keep].tolist(), n[keep].tolist()):
                     for column, value in zip(out, (key, t, m, a, b" ".join(words[a : a + k + width - 1]))):
                         column.append(value)
@@ -94,7 +89,7 @@ def _packed(rows: DataFrame, repeated: Filter, width: int, gram: int) -> DataFra
     def record(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "_t", "minimiser", "first", "packed"])
 
-    return rows.where("doc_id IS NOT NULL").select("doc_id", "text", "_t").mapInArrow(cut, "doc_id long, _t long, minimiser long, first int, packed binary")
+    return rows.where("doc_id IS NOT NULL").select("doc_id", "text", "_t").mapInArrow(tidy(cut), "doc_id long, _t long, minimiser long, first int, packed binary")
 
 
 def window_ranks(words: np.ndarray, width: int) -> np.ndarray:
@@ -167,7 +162,7 @@ def _in_buckets(strings: DataFrame, width: int, parts: int) -> DataFrame:
             yield done()
 
     dealt = strings.repartition(parts, "minimiser").sortWithinPartitions("minimiser")
-    return dealt.select("minimiser", "packed", "smallest", "_p1", "_p2").mapInArrow(ranked, _RUNS)
+    return dealt.select("minimiser", "packed", "smallest", "_p1", "_p2").mapInArrow(tidy(ranked), _RUNS)
 
 
 def _by_window(strings: DataFrame, width: int) -> DataFrame:
@@ -183,7 +178,7 @@ def _by_window(strings: DataFrame, width: int) -> DataFrame:
                     rows.append((h, doc, p1, p2, a))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["h", "doc", "_p1", "_p2", "at"])
 
-    each = strings.select("packed", "smallest", "_p1", "_p2").mapInArrow(windows, "h binary, doc long, _p1 long, _p2 long, at int")
+    each = strings.select("packed", "smallest", "_p1", "_p2").mapInArrow(tidy(windows), "h binary, doc long, _p1 long, _p2 long, at int")
     least = each.groupBy("h").agg(F.min("doc").alias("smallest"))
     return each.join(least, "h").select("_p1", "_p2", "at", F.lit(1).alias("n"), "smallest")
 
@@ -254,10 +249,10 @@ def without_repeats(docs: DataFrame, digest: bool = False, width: int = WINDOW,
                 yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*batch.schema.names[:-1], "n_words", "n_removed"])
 
     if digest:
-        return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return joined.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     kinds = [StructField(f.name, StringType() if f.name == own_text else f.dataType) for f in joined.schema.fields[:-1]]
     schema = StructType([*kinds, StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quarry.llm.pretokens import _powers_to, mixed
 
 _KEPT_WORDS = 1_000_000
-#: Bits of a membership filter; its size does not grow with the data.
-FILTER_BITS = 1 << 26
+#: Bits that a membership filter has at most (32 MB, in the driver and each worker).
+MOST_BITS = 1 << 28
 
 
 class WordHashes:
@@ -67,16 +67,29 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, text_end), prepend=0)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its runs of ``width`` words
-    (of all its words, if it has fewer); empty without words."""
+def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= _BYTES_AT_ONCE):
             size += len(texts[end])
             end += 1
-        hashes, counts = word_hashes(texts[at:end])
+        yield texts[at:end]
+        at = end
+
+
+def hashed_texts(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text."""
+    for some in _batches(texts):
+        hashes, counts = word_hashes(some)
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
+
+
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``width`` words
+    (of all its words, if it has fewer); empty without words."""
+    for some in _batches(texts):
+        hashes, counts = word_hashes(some)
         windows = window_hashes(hashes, width)
         first = 0
         for n in counts.tolist():
@@ -85,7 +98,6 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             else:
                 yield window_hashes(hashes[first : first + n], n) if n else hashes[:0]
             first += n
-        at = end
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -101,20 +113,32 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A bitmap of FILTER_BITS bits that holds every given value (and by chance
-    some others, so whatever passes is joined exactly afterwards)."""
-
-    def __init__(self, values: DataFrame, col: str, bits: int = FILTER_BITS):
-        at = F.pmod(F.col(col), F.lit(bits)) + 1
+    """A bitmap that holds every given value (and by chance some others, so
+    whatever passes is joined exactly afterwards), of 16 bits or more a value.
+    Where MOST_BITS are too few for that there is none, and everything passes."""
+
+    def __init__(self, values: DataFrame, col: str, most_bits: int = MOST_BITS):
+        n = values.agg(F.approx_count_distinct(col)).first()[0]
+        self.bits = max(1 << 16, 1 << (16 * n).bit_length())
+        if self.bits > most_bits:
+            self.shared = None
+            return
+        at = F.pmod(F.col(col), F.lit(self.bits)) + 1
         pages = values.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-        whole = np.zeros(bits // 8, np.uint8)
+        whole = np.zeros(self.bits // 8, np.uint8)
         for page, part in pages.toLocalIterator():  # at most bits / 2 ** 15 rows of 4 KB
             at_byte = (page - 1) * 4096
             whole[at_byte : at_byte + len(part)] = np.frombuffer(part, np.uint8)
-        self.bits, self.shared = bits, values.sparkSession.sparkContext.broadcast(whole.tobytes())
+        self.shared = values.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    @property
+    def passes_all(self) -> bool:
+        return self.shared is None
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         """Which of the (unsigned) values may be in."""
+        if self.shared is None:
+            return np.ones(len(values), bool)
         table = np.frombuffer(self.shared.value, np.uint8)
         at = (values % np.uint64(self.bits)).astype(np.int64)
         return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

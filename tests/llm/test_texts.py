@@ -129,11 +129,11 @@ def noisy(n, base=300, edits=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("width,num,block", [(3, 90, 2_048), (3, 90, 3), (2, 70, 2_048)])
-def test_jaccard(spark, width, num, block):
+@pytest.mark.parametrize("width,num,block,few", [(3, 90, 2_048, 32), (3, 90, 3, 2), (2, 70, 2_048, 2), (2, 70, 5, 4)])
+def test_jaccard(spark, width, num, block, few):
     rows = noisy(250)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard.similar_groups(df, width, num, 100, block=block).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard.similar_groups(df, width, num, 100, block=block, few=few).collect()}
     assert got == brute_groups(rows, width, num, 100)
 
 
