@@ -19,11 +19,11 @@ from quarry.llm.store import documents, written
 from quarry.llm.substrings import without_repeats
 
 
-def _columns_of(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``changed`` with the columns of ``docs`` and n_chars as the text now is."""
+def _length_as_is(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``changed`` with n_chars, if there is one, as the text now is."""
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return changed.select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share stay in their first document only."""
-    return _columns_of(docs, without_boilerplate(docs))
+    return _length_as_is(docs, without_boilerplate(docs, counts=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in their first document only; a
     document that consists of such passages goes."""
-    rest = without_repeats(docs)
-    return _columns_of(docs, rest.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))))
+    return _length_as_is(docs, without_repeats(docs, counts=False, keep_emptied=False))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
