@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.pretokens import mixed
-from quarry.llm.store import discard, documents, id_and_text, tidy, written
+from quarry.llm.store import discard, documents, id_and_text, row_of, tidy, written
 from quarry.llm.wordhash import Filter, shingle_sets, signed
 
 BAND_RATIO, RARE, ENOUGH = 1.25, 0.002, 8.0
@@ -491,11 +491,18 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, and rows
-    without an id."""
-    others = similar_groups(docs, width, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+    without an id, with all columns as they are.
+
+    Null, empty and blank texts are groups of their own and stay; of repeated
+    rows of the smallest id all stay; an empty table gives an empty table;
+    texts of any length are compared whole.
+    """
+    others = similar_groups(docs, width, num, den, id_col=id_col, text_col=text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("_id"), row_of(docs).alias("_row"))
+    rows = rows.join(written(others, "others"), F.col("_id") == F.col("_other"), "left_anti")
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 A HyperLogLog sketch of the sites of each line merges by aggregation, so a line
 that every site carries arrives as one small sketch a task.  Lines whose
-estimate is near the threshold get exact distinct counts.  A line that is
+estimate is near the threshold get exact distinct counts.  A line with a letter or number that is
 spread over ``min_sites`` sites or more is kept in its first document (smallest
-id) and goes from all others.  A document that would lose more than half of its
-characters this way stays whole, for de-duplication of documents to judge, if
-another row has the same text; so does one that would lose all of them.
+id) and goes from all others.  A document that would lose all its characters
+stays as it is, and so does one that would lose more than ``copy_share`` of them
+if another row has the same text, for the de-duplication of documents to judge.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.store import documents, written
+from quarry.llm.store import documents, let, row_of, written
 
-#: Sites a boilerplate line has, characters it has in the SQL at the end (the
-#: operator counts every line with a word), and the share of the
-#: threshold around it in which an estimate is replaced by an exact count (the
-#: standard error of the sketch is 1.6 %).
-MIN_SITES, MIN_CHARS, NEAR, LG_K = 10, 12, 0.2, 12
+#: Sites a boilerplate line has, and the share of the threshold around it in
+#: which an estimate is replaced by an exact count (the standard error of the
+#: sketch is 1.6 %).
+MIN_SITES, NEAR, LG_K, COPY_SHARE = 10, 0.2, 12, 0.5
 WORD = r"[\p{L}\p{N}]"
 
 
@@ -54,33 +53,53 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id"
     return bad.join(copies, ["_t1", "_t2"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``docs``, the text without its boilerplate lines, with n_lines and
-    n_removed; columns of these names are replaced.
+def _without(lines: Column, bad: Column) -> Column:
+    """``lines`` but for those numbered in ``bad``: the stretches between them,
+    so that the work is linear in the lines."""
+
+    def rest(s: Column) -> Column:
+        at = lambda i: F.get(s["bad"], i)
+        start = lambda i: F.when(i > 0, at(i - 1) + 1).otherwise(0)
+        end = lambda i: F.coalesce(at(i), F.size(s["lines"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["bad"])), lambda i: F.slice(s["lines"], start(i) + 1, end(i) - start(i))))
+
+    return let(F.struct(lines.alias("lines"), F.array_sort(bad).alias("bad")), rest)
+
+
+def without_boilerplate(
+    docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, counts: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+) -> DataFrame:
+    """``docs``, the text without its boilerplate lines, and with ``counts``
+    n_lines and n_removed, which replace columns of these names.
 
     A null text stays null and has 0 lines, an empty one has 1; a null site
     counts for no line; rows without an id lose the lines whose first document
     has one; repeated rows are treated alike; an empty table gives an empty
-    table.  A hot line's rows are spread by the join's skew handling.
+    table; other columns, whatever their names, stay as they are.  Texts are
+    whole, and the work is linear in their lines.  A hot line's rows are spread
+    by the join's skew handling.  With a ``copy_share`` of 1 copies lose their
+    boilerplate like any other row.
     """
-    docs = docs.drop("n_lines", "n_removed")
     bad = removals(docs, min_sites, id_col, text_col, site_col)
+    new = ("n_lines", "n_removed") if counts else ()
     keys = _row_key(docs, id_col, text_col)
-    rows = docs.withColumns(keys).alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d.*", "b._bad", "b._copied").drop(*keys)
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    rows = rows.withColumn("_lines", lines).withColumn("_bad", F.coalesce("_bad", F.array().cast("array<int>")))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], docs[f"`{text_col}`"].cast("string").alias("_text"), row_of(docs, new).alias("_row"))
+    rows = rows.alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d._row", "d._text", "b._bad", "b._copied")
+    lines = F.split("_text", "\n")
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    rows = rows.withColumn("_kept", F.when(F.size("_bad") > 0, F.filter("_lines", lambda x, i: ~F.array_contains("_bad", i))))
-    left = chars(F.col("_kept"))
-    whole = (left == 0) | (F.col("_copied") & (2 * left < chars(F.col("_lines"))))
-    rows = rows.withColumn("_kept", F.when(~whole, F.col("_kept")))
-    return rows.withColumns(
-        {
-            text_col: F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")),
-            "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_removed": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
-        }
-    ).drop("_lines", "_bad", "_copied", "_kept")
+
+    def judged(kept: Column) -> Column:
+        left, every = chars(kept), chars(lines)
+        whole = (left == 0) | (F.col("_copied") & (every - left > copy_share * every))
+        return F.when(~whole, F.struct(F.array_join(kept, "\n").alias("text"), F.size(kept).alias("n")))
+
+    rows = rows.withColumn("_new", F.when(F.size("_bad") > 0, let(_without(lines, F.col("_bad")), judged)))
+    n = F.coalesce(F.size(lines), F.lit(0))
+    kind = docs.schema[text_col].dataType
+    out = [(F.when(F.col("_new").isNull(), F.col(f"_row.`{c}`")).otherwise(F.col("_new.text").cast(kind)) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in new]
+    if counts:
+        out += [n.cast("long").alias("n_lines"), F.when(F.col("_new").isNull(), F.lit(0)).otherwise(n - F.col("_new.n")).cast("long").alias("n_removed")]
+    return rows.select(*out)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +109,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
 ORACLES = {
-    "op4_line_dedup": f"""
+    "op4_line_dedup": rf"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-s AS (SELECT line, min(doc_id) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+s AS (SELECT line, min(doc_id) AS first FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 m AS (SELECT l.*, s.line IS NOT NULL AND l.doc_id <> s.first AS bad FROM l LEFT JOIN s ON l.line = s.line),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (NOT bad), 0) AS left_chars,
-             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS left_text FROM m GROUP BY doc_id)
-SELECT d.doc_id, n_lines::BIGINT AS n_lines, CASE WHEN 2 * left_chars < chars THEN 0 ELSE n_bad END::BIGINT AS n_removed,
-       length(CASE WHEN 2 * left_chars < chars THEN d.text ELSE left_text END)::BIGINT AS n_chars_left,
-       sha256(CASE WHEN 2 * left_chars < chars THEN d.text ELSE left_text END) AS text_sha256
-FROM documents d JOIN g ON d.doc_id = g.doc_id"""
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS left_text FROM m GROUP BY doc_id),
+c AS (SELECT text FROM documents GROUP BY text HAVING count(*) > 1),
+j AS (SELECT d.doc_id, d.text, g.*, left_chars = 0 OR (c.text IS NOT NULL AND chars - left_chars > {COPY_SHARE} * chars) AS whole
+      FROM documents d JOIN g ON d.doc_id = g.doc_id LEFT JOIN c ON d.text = c.text)
+SELECT doc_id, n_lines::BIGINT AS n_lines, CASE WHEN whole THEN 0 ELSE n_bad END::BIGINT AS n_removed,
+       length(CASE WHEN whole OR n_bad = 0 THEN text ELSE left_text END)::BIGINT AS n_chars_left,
+       sha256(CASE WHEN whole OR n_bad = 0 THEN text ELSE left_text END) AS text_sha256
+FROM j"""
 }

@@ -16,24 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.store import documents, written
+from quarry.llm.store import documents, let, row_of, written
 
 BLANK = r"[ \t\n\x0B\f\r]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: ratio: (least distance of a fence from its quantile, whether low values count too)
 RATIOS = {"chars_per_word": (2.0, True), "symbols_per_word": (0.15, False), "dup_line_share": (0.25, False), "repeat_share": (0.10, False)}
-#: The quantiles of the SQL at the end, which junk of 10 % can reach; the operator uses QUARTILES.
-LOW, MIDDLE, HIGH = 0.10, 0.50, 0.90
 QUARTILES = (0.25, 0.50, 0.75)
 REACH, MIN_GROUP, ACCURACY = 4.0, 200, 10_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _covered(hashes: Column, width: int) -> Column:
     """Words in windows whose hash occurs twice or more among ``hashes``."""
 
@@ -46,37 +39,49 @@ def _covered(hashes: Column, width: int) -> Column:
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return _let(_let(pairs, twice), union)
+    return let(let(pairs, twice), union)
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measures and ``_n_lines``; a null text has no words.
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` with the measures and n_lines of their text; a null text has no words.
 
     Windows are compared by 64-bit hashes within one text only.
     """
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    words = F.col("_words")
+    text = F.coalesce("text", F.lit(""))
+    words = F.col("words")
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
     return (
-        docs.withColumn("_words", F.array_remove(F.split(text, f"{BLANK}+"), ""))
-        .withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")))
-        .withColumn("_windows", F.when(F.size(words) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
+        rows.withColumn("words", F.array_remove(F.split(text, f"{BLANK}+"), ""))
+        .withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")))
+        .withColumn("windows", F.when(F.size(words) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
         .withColumns(
             {
                 "n_words": F.size(words).cast("long"),
                 "word_chars": F.length(F.array_join(words, "")).cast("long"),
                 "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "_n_lines": F.size("_lines").cast("long"),
-                "n_repeat_words": F.when(F.size("_windows") == F.size(F.array_distinct("_windows")), F.lit(0)).otherwise(_covered(F.col("_windows"), WINDOW)).cast("long"),
+                "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+                "n_lines": F.size("lines").cast("long"),
+                "n_repeat_words": F.when(F.size("windows") == F.size(F.array_distinct("windows")), F.lit(0)).otherwise(_covered(F.col("windows"), WINDOW)).cast("long"),
             }
         )
-        .drop("_words", "_lines", "_windows")
+        .drop("words", "lines", "windows")
     )
 
 
+def _rows(docs: DataFrame, text_col: str, carried: Column | None, **others: Column) -> DataFrame:
+    """The text and what is carried along, under this module's own names."""
+    columns = [docs[f"`{text_col}`"].cast("string").alias("text"), *[c.alias(n) for n, c in others.items()]]
+    return docs.select(*columns, *([] if carried is None else [carried.alias("row")]))
+
+
+def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the measures, which replace columns of their names."""
+    others = [c for c in docs.columns if c not in MEASURES]
+    return _measured(_rows(docs, text_col, row_of(docs, MEASURES))).select(*[F.col(f"row.`{c}`").alias(c) for c in others], *MEASURES)
+
+
 def _ratio(name: str) -> Column:
-    over = {"chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "_n_lines"), "repeat_share": ("n_repeat_words", "n_words")}[name]
+    over = {"chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}[name]
     return F.try_divide(F.col(over[0]).cast("double"), F.col(over[1]).cast("double"))
 
 
@@ -86,10 +91,10 @@ def _fences_of(quartiles: Column, slack: float) -> tuple[Column, Column]:
     return mid - reach, mid + reach
 
 
-def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def fences(measured: DataFrame) -> DataFrame:
     """_lang, _source and the fences of each ratio (low_*, high_*) for every
     language and source met, nulls among them."""
-    rows = measured.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *[_ratio(r).alias(r) for r in RATIOS])
+    rows = measured.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[_ratio(r).alias(r) for r in RATIOS])
     sketches = rows.groupingSets([["_lang", "_source"], ["_lang"], []], "_lang", "_source").agg(
         F.grouping_id().alias("_level"), F.count("*").alias("_rows"), *[F.percentile_approx(r, list(QUARTILES), ACCURACY).alias(r) for r in RATIOS]
     )
@@ -112,34 +117,45 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     return both.select(*out)
 
 
-def verdicts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_groups: int = 100_000, keep_text: bool = True) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed and kept; columns of these names are replaced.
-
-    A null or empty text fails the base rules; a null language or source is a
-    group like any other; repeated rows get the same verdict; an empty table
-    gives an empty table.  The table of fences is broadcast only if it has at
-    most ``most_groups`` rows.  Without ``keep_text`` the text is left out.
-    """
-    docs = docs.drop(*MEASURES, "base_failed", "kept", "_n_lines")
-    measured = with_measures(docs, text_col)
-    measured = written(measured if keep_text else measured.drop(text_col), "measured")
-    limits = written(fences(measured, lang_col, source_col), "fences")
+def _judged(docs: DataFrame, carried: Column | None, lang_col: str, source_col: str, text_col: str, most_groups: int) -> DataFrame:
+    """row (what is carried), the measures, base_failed and kept of every row."""
+    rows = _rows(docs, text_col, carried, lang=docs[f"`{lang_col}`"], source=docs[f"`{source_col}`"])
+    measured = written(_measured(rows).drop("text"), "measured")
+    limits = written(fences(measured), "fences")
     if limits.count() <= most_groups:
         limits = F.broadcast(limits)
-    joined = measured.join(limits, measured[lang_col].eqNullSafe(limits["_lang"]) & measured[source_col].eqNullSafe(limits["_source"]), "left")
+    joined = measured.join(limits, measured["lang"].eqNullSafe(limits["_lang"]) & measured["source"].eqNullSafe(limits["_source"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
     for r, (_, low_too) in RATIOS.items():
         inside &= F.coalesce(_ratio(r) <= F.col(f"high_{r}"), F.lit(True))
         if low_too:
             inside &= F.coalesce(_ratio(r) >= F.col(f"low_{r}"), F.lit(True))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside).drop("_n_lines", *limits.columns)
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def verdicts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_groups: int = 100_000, keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed and kept, which replace columns of these names.
 
+    A null or empty text fails the base rules; a null language or source is a
+    group like any other; repeated rows get the same verdict; values on a fence
+    are inside; an empty table gives an empty table; other columns, whatever their
+    names, stay as they are; texts of any length are measured whole.  The table of fences is broadcast only if it has at
+    most ``most_groups`` rows.  Without ``keep_text`` the text is left out.
+    """
+    new = (*MEASURES, "base_failed", "kept")
+    gone = new if keep_text else (*new, text_col)
+    others = [c for c in docs.columns if c not in gone]
+    judged = _judged(docs, row_of(docs, gone) if others else None, lang_col, source_col, text_col, most_groups)
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *new)
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns."""
-    return verdicts(docs).where("kept").select(*docs.columns)
+
+def kept_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_groups: int = 100_000) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all its columns as they
+    are, those named like a measure or ``kept`` too; otherwise as ``verdicts``."""
+    judged = _judged(docs, row_of(docs), lang_col, source_col, text_col, most_groups).where("kept")
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +165,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op5_quality": op5_quality}
 
-_QUANTILES = ", ".join(f"list_extract(list_sort(list({r}) FILTER ({r} IS NOT NULL)), greatest(1, ceil({q} * count({r})))::BIGINT) AS {r}_{k}" for r in RATIOS for k, q in enumerate((LOW, MIDDLE, HIGH)))
+_QUANTILES = ", ".join(f"list_extract(list_sort(list({r}) FILTER ({r} IS NOT NULL)), greatest(1, ceil({q} * count({r})))::BIGINT) AS {r}_{k}" for r in RATIOS for k, q in enumerate(QUARTILES))
 
 
 def _fence_sql(r: str) -> str:
     slack, low_too = RATIOS[r]
-    q = [f"CASE WHEN o.g_rows >= {MIN_GROUP} THEN o.{r}_{k} WHEN l.g_rows >= {MIN_GROUP} THEN l.{r}_{k} ELSE e.{r}_{k} END" for k in range(3)]
-    out = f"coalesce(m.{r} <= ({q[2]}) + greatest({slack}, {REACH} * (({q[2]}) - ({q[1]}))), true)"
-    return out + (f" AND coalesce(m.{r} >= ({q[0]}) - greatest({slack}, {REACH} * (({q[1]}) - ({q[0]}))), true)" if low_too else "")
+
+    def fences_of(own: bool) -> tuple[str, str]:
+        first = f"WHEN o.g_rows >= {MIN_GROUP} THEN o.{r}_{{k}} " if own else ""
+        below, mid, above = (f"(CASE {first.format(k=k)}WHEN l.g_rows >= {MIN_GROUP} THEN l.{r}_{k} ELSE e.{r}_{k} END)" for k in range(3))
+        reach = f"greatest({slack}, {REACH} * least({mid} - {below}, {above} - {mid}))"
+        return f"({mid} - {reach})", f"({mid} + {reach})"
+
+    (low, high), (lang_low, lang_high) = fences_of(True), fences_of(False)
+    out = f"coalesce(m.{r} <= least({high}, {lang_high} + {slack}), true)"
+    return out + (f" AND coalesce(m.{r} >= greatest({low}, {lang_low} - {slack}), true)" if low_too else "")
 
 
 ORACLES = {

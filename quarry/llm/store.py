@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.store import discard, shared_folder, written
 
-__all__ = ["block_no", "discard", "documents", "id_and_text", "literal_rows", "shared_folder", "slices", "tidy", "written"]
+__all__ = ["block_no", "discard", "documents", "id_and_text", "let", "literal_rows", "row_of", "shared_folder", "slices", "tidy", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def row_of(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of ``docs`` as one struct, so that an operator can carry them
+    along under names that clash with none of its own."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in without])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def block_no(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
@@ -46,14 +57,14 @@ def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBa
         yield batch.slice(at, rows)
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 4_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` over small slices; what it has freed goes back to the system
     when it ends, as the next task of the worker may be of another kind."""
 
     @functools.wraps(work)
     def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from work(part for batch in batches for part in slices(batch))
+            yield from work(part for batch in batches for part in slices(batch, most))
         finally:
             pa.default_memory_pool().release_unused()
             try:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quarry.llm.store import discard, documents, id_and_text, tidy, written
+from quarry.llm.store import documents, id_and_text, row_of, tidy, written
 from quarry.llm.wordhash import Filter, hashed_texts, signed, sliding_min, window_hashes
 
 WINDOW, GRAM = 50, 16
@@ -64,7 +64,7 @@ def _repeated(rows: DataFrame, width: int, gram: int) -> Filter:
 
     met = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(minimisers), "minimiser long, doc_id long")
     both = met.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return Filter(both, "minimiser")
+    return Filter(written(both.select("minimiser"), "repeated"), "minimiser")
 
 
 def _packed(rows: DataFrame, repeated: Filter, width: int, gram: int) -> DataFrame:
@@ -201,30 +201,42 @@ def repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, hot_strings:
     return members.groupBy("doc_id", "_t").agg(F.collect_set(run).alias("runs"))
 
 
-def without_repeats(docs: DataFrame, digest: bool = False, width: int = WINDOW, gram: int = GRAM, hot_strings: int = HOT_STRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    digest: bool = False,
+    width: int = WINDOW,
+    gram: int = GRAM,
+    hot_strings: int = HOT_STRINGS,
+    counts: bool = True,
+    keep_emptied: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``docs`` with the words of repeated windows taken out of the text, and
-    n_words and n_removed (columns of these names are replaced); with
+    with ``counts`` n_words and n_removed, which replace columns of these names; with
     ``digest`` only doc_id, n_words, n_removed and kept_sha256.
 
     A text that loses words is the rest joined by blanks; a text that loses
     none stays as it is.  Null texts have no words and stay null; rows without
     an id neither lose words nor make others lose them; rows of one id do not
-    repeat each other; an empty table gives an empty table.
+    repeat each other; an empty table gives an empty table; other columns,
+    whatever their names, stay as they are; texts of any length are whole.
+    Without ``keep_emptied`` rows that lose all their words go.
     """
-    found = repeats(docs, width, gram, hot_strings, id_col, text_col)
-    drop = [c for c in ("n_words", "n_removed") if c in docs.columns and c not in (id_col, text_col)]
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) if digest else docs.drop(*drop)
-    own_id, own_text = ("doc_id", "text") if digest else (id_col, text_col)
-    rows = rows.withColumn("_k", F.col(own_id).cast("long")).withColumn("_t", F.xxhash64(F.coalesce(F.col(own_text).cast("string"), F.lit(""))))
-    found = found.select(F.col("doc_id").alias("_k2"), F.col("_t").alias("_t2"), F.col("runs").alias("_runs"))
-    joined = rows.join(found, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left").drop("_k", "_t", "_k2", "_t2")
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    text_at = joined.columns.index(own_text)
+    found = repeats(docs, width, gram, hot_strings, id_col, text_col).select(F.col("doc_id").alias("_k2"), F.col("_t").alias("_t2"), F.col("runs").alias("_runs"))
+    new = ("n_words", "n_removed") if counts else ()
+    others = [c for c in docs.columns if c not in (*new, text_col)]
+    text = docs[f"`{text_col}`"].cast("string")
+    carried = [docs[f"`{id_col}`"].cast("long").alias("_row")] if digest else [row_of(docs, (*new, text_col)).alias("_row")] if others else []
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), text.alias("_text"), *carried)
+    joined = rows.join(found, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left").select("_text", "_runs", *(["_row"] if carried else []))
+
+    with_row = bool(carried)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed, digests = [], [], [], []
-            for text, runs in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").encode().split()
                 kept = words
                 if runs:
@@ -240,19 +252,17 @@ def without_repeats(docs: DataFrame, digest: bool = False, width: int = WINDOW,
                     digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 else:
                     texts.append(text if len(kept) == len(words) else b" ".join(kept).decode())
-            counts = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts, pa.array(digests, pa.string())], names=names)
-            else:
-                columns = list(batch.columns[:-1])
-                columns[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*batch.schema.names[:-1], "n_words", "n_removed"])
+            columns = [pa.array(digests if digest else texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *([batch.column(2)] if with_row else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["new", "n_words", "n_removed", *(["row"] if with_row else [])])
 
+    fields = [StructField("new", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
+    done = joined.mapInArrow(tidy(cut), StructType(fields + ([StructField("row", joined.schema["_row"].dataType)] if with_row else [])))
     if digest:
-        return joined.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    kinds = [StructField(f.name, StringType() if f.name == own_text else f.dataType) for f in joined.schema.fields[:-1]]
-    schema = StructType([*kinds, StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(tidy(cut), schema)
+        return done.select(F.col("row").alias("doc_id"), "n_words", "n_removed", F.col("new").alias("kept_sha256"))
+    if not keep_emptied:
+        done = done.where("n_removed = 0 OR n_removed < n_words")
+    kind = docs.schema[text_col].dataType
+    return done.select(*[(F.col("new").cast(kind) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in new], *new)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
