@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.byte_vocab import rank_vocab
 from quarry.llm.pretokens import Known, chunks, distinct, gathered
-from quarry.llm.store import documents, id_and_text
+from quarry.llm.store import documents, id_and_text, tidy
 
 #: Words and bytes of one recursive query: they bound its working tables.
 WORDS_AT_ONCE, BYTES_AT_ONCE, MEMORY = 25_000, 500_000, "400MB"
-#: From this length in bytes on, a step contracts all occurrences of the word's
-#: pair of minimum rank (from the left, without overlaps) and not one.
+#: From this length in bytes on, a word is first cut where no token can lie, and
+#: a step contracts all places of the pair of minimum rank (from the left, without
+#: overlaps) if that pair's token is in no merge of lower rank: until the
+#: last of these places is done no other pair can then be the lowest.
 LONG_WORD = 64
+#: A part of a word that has no cut in so many bytes (runs of one pattern, DNA)
+#: is contracted by a heap of (rank, place), as a step over all its rows
+#: for every place would be quadratic and keep more than bounded working tables.
+NO_CUT = 1_000
 
 #: Tokens are compared by their hexadecimal digits, two for each byte.
 _MERGES = """
@@ -37,6 +45,12 @@ FROM (SELECT id, digits, unnest(range(2, length(digits), 2)) AS cut FROM vocab)
 JOIN vocab a ON a.digits = v.digits[1:v.cut]
 JOIN vocab b ON b.digits = v.digits[v.cut + 1:]"""
 
+#: A merge is tame if its token is part of no merge of lower rank.
+_TAME = """
+CREATE TABLE rules AS
+WITH part AS (SELECT id, min(merged) AS least FROM (SELECT left_id AS id, merged FROM merges UNION ALL SELECT right_id, merged FROM merges) GROUP BY id)
+SELECT m.left_id, m.right_id, m.merged, coalesce(p.least > m.merged, true) AS tame FROM merges m LEFT JOIN part p ON p.id = m.merged"""
+
 #: pos is the place of a token's first byte; a merged token keeps the left one's.
 _ENCODE = """
 CREATE OR REPLACE TABLE encoded AS
@@ -65,12 +79,12 @@ WITH RECURSIVE state(word, pos, id) USING KEY (word, pos) AS (
         SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, row_number() OVER w AS k
         FROM recurring.state WHERE id >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), hits AS (
-        SELECT word, pos, next_pos, merged, k FROM pairs JOIN merges ON left_id = id AND right_id = next_id
+        SELECT word, pos, next_pos, merged, tame, k FROM pairs JOIN rules ON left_id = id AND right_id = next_id
         QUALIFY merged = min(merged) OVER (PARTITION BY word)
     ), runs AS (
         SELECT *, k - row_number() OVER (PARTITION BY word ORDER BY k) AS run FROM hits
     ), chosen AS (
-        SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY k) % 2 = 1
+        SELECT * FROM runs QUALIFY CASE WHEN tame THEN row_number() OVER (PARTITION BY word, run ORDER BY k) % 2 = 1 ELSE k = min(k) OVER (PARTITION BY word) END
     )
     SELECT word, unnest([pos, next_pos]), unnest([merged, -1]) FROM chosen)
 )
@@ -87,12 +101,14 @@ class Codec:
 
         self.vocab = rank_vocab(path, pattern)
         self.ranks = self.vocab.ranks
+        self.tokens = {i: t for t, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "digits": pa.array([t.hex().upper() for t in self.ranks])})
         self.db.register("vocab_rows", rows)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
         self.db.execute(_MERGES)
+        self.db.execute(_TAME)
         self.known = Known()
         self._empty()
 
@@ -114,42 +130,84 @@ class Codec:
         self.db.unregister("symbols")
         return [x.tolist() for x in ids], decoded
 
+    def _by_heap(self, word: bytes) -> tuple[list[int], bytes]:
+        """The same contraction, leftmost place of the lowest rank first."""
+        pairs, tokens, ranks = {}, self.tokens, self.ranks
+
+        def rank_of(a: int, b: int) -> int:
+            if (a, b) not in pairs:
+                pairs[a, b] = ranks.get(tokens[a] + tokens[b], -1)
+            return pairs[a, b]
+
+        n = len(word)
+        ids = array("i", self.byte_ids[np.frombuffer(word, np.uint8)].tobytes())
+        after, before, rank = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), array("i", [-1]) * n
+        heap = []
+        for i in range(n - 1):
+            rank[i] = rank_of(ids[i], ids[i + 1])
+            if rank[i] >= 0:
+                heap.append(rank[i] << 32 | i)
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), 1 << 32)
+            if rank[i] != r:
+                continue  # changed since
+            gone = after[i]
+            ids[i], ids[gone], rank[gone] = r, -1, -1
+            after[i] = nxt = after[gone]
+            if nxt < n:
+                before[nxt] = i
+            for left in (before[i], i):
+                if left >= 0:
+                    rank[left] = rank_of(ids[left], ids[after[left]]) if after[left] < n else -1
+                    if rank[left] >= 0:
+                        heapq.heappush(heap, rank[left] << 32 | left)
+        found = [x for x in ids if x >= 0]
+        return found, b"".join(tokens[x] for x in found)
+
     def words(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
         """The ids of each (non-empty) word and the bytes that they stand for.
 
         A word that is itself a token takes its rank at once, as the library does."""
         ids: list[list[int]] = [[] for _ in words]
-        decoded: list[bytes] = [b""] * len(words)
-        short, long = [], []
+        decoded: list[list[bytes]] = [[] for _ in words]
+        parts: list[tuple[int, bytes]] = []
         for i, w in enumerate(words):
             if w in self.ranks:
-                ids[i], decoded[i] = [self.ranks[w]], w
+                ids[i], decoded[i] = [self.ranks[w]], [w]
             else:
-                (short if len(w) < LONG_WORD else long).append(i)
-        for group, query in ((short, _ENCODE), (long, _ENCODE_LONG)):
+                parts += [(i, part) for part in ([w] if len(w) < LONG_WORD else self.vocab.cuts(w))]
+        results: dict[bytes, tuple[list[int], bytes]] = {}
+        for least, most, query in ((0, LONG_WORD, _ENCODE), (LONG_WORD, NO_CUT, _ENCODE_LONG)):
+            todo = list(dict.fromkeys(w for _, w in parts if least <= len(w) < most))
             at = 0
-            while at < len(group):
+            while at < len(todo):
                 end, size = at, 0
-                while end < len(group) and end - at < WORDS_AT_ONCE and (end == at or size + len(words[group[end]]) <= BYTES_AT_ONCE):
-                    size += len(words[group[end]])
+                while end < len(todo) and end - at < WORDS_AT_ONCE and (end == at or size + len(todo[end]) <= BYTES_AT_ONCE):
+                    size += len(todo[end])
                     end += 1
-                for i, x, b in zip(group[at:end], *self._recursive([words[i] for i in group[at:end]], query)):
-                    ids[i], decoded[i] = x, b
+                results |= zip(todo[at:end], zip(*self._recursive(todo[at:end], query)))
                 at = end
-        return ids, decoded
+        for part in dict.fromkeys(w for _, w in parts if len(w) >= NO_CUT):
+            results[part] = self._by_heap(part)
+        for i, part in parts:  # in order of their words' places
+            own, raw = results[part]
+            ids[i] += own
+            decoded[i].append(raw)
+        return ids, [b"".join(d) for d in decoded]
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded bytes) of each text."""
         p = self.vocab.splitter.split(texts)
         if not len(p.starts):
             return [(b"", b"")] * len(texts)
-        firsts, codes = distinct(p.keys)
+        firsts, codes = distinct(p.keys, p.checks)
         if self.known.size > self.known.most:
             self._empty()
-        slots = self.known.find(p.keys[firsts])
+        slots = self.known.find(p.keys[firsts], p.checks[firsts])
         if (new := np.flatnonzero(slots < 0)).size:
             ids, decoded = self.words([p.text(i).encode() for i in firsts[new].tolist()])
-            slots[new] = self.known.add(p.keys[firsts[new]])
+            slots[new] = self.known.add(p.keys[firsts[new]], p.checks[firsts[new]])
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             self.ids = np.concatenate([self.ids, np.fromiter((x for r in ids for x in r), np.uint32, int(n.sum()))])
             self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(n)])
@@ -176,7 +234,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
     decoded (bytes) of every row, or with ``digests`` their sha256.
 
     A null or empty text has no tokens; null ids stay null; repeated rows are
-    encoded each; other columns are not read; texts of any length are whole.
+    encoded each; an empty table gives an empty table; other columns are not
+    read; texts and words of any length are whole.  Of places with one rank the
+    leftmost goes first.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +253,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     kind = "string" if digests else "binary"
-    return id_and_text(docs, id_col, text_col).mapInArrow(encoded, f"doc_id long, n_tokens long, {names[2]} {kind}, {names[3]} {kind}")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(encoded, 16_000_000), f"doc_id long, n_tokens long, {names[2]} {kind}, {names[3]} {kind}")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 
 import numpy as np
 
-from quarry.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, Splitter
+from quarry.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, Cuts, Splitter
 
 
 def _byte_letters() -> dict[str, int]:
@@ -37,9 +37,22 @@ class JsonVocab:
         keys = (left << 20) | right
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_rank, self.pair_id = keys[order], order, merged[order]
+        # A merge is tame if its token is in no pair of lower rank: all its places can then be merged at once.
+        part_of = np.full(max(ids.values()) + 1, 1 << 40, np.int64)
+        np.minimum.at(part_of, left, np.arange(len(left)))
+        np.minimum.at(part_of, right, np.arange(len(left)))
+        self.tame = part_of[merged] > np.arange(len(left))
+        self.tokens = [bytes(letters[c] for c in a + b) for a, b in pairs]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter(self._class_of)
+        self._cuts: Cuts | None = None
+
+    @property
+    def cuts(self) -> Cuts:
+        if self._cuts is None:
+            self._cuts = Cuts(self.tokens)
+        return self._cuts
 
     def _class_of(self, c: str) -> int:
         pieces = [b - a for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}")]
@@ -69,6 +82,13 @@ class RankVocab:
         joined = {p + bytes([b]): 256 + 256 * k + b for k, p in enumerate((b"a", b"1", b"!")) for b in range(256)}
         self._probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=singles | joined, special_tokens={})
         self.splitter = Splitter(self._class_of)
+        self._cuts: Cuts | None = None
+
+    @property
+    def cuts(self) -> Cuts:
+        if self._cuts is None:
+            self._cuts = Cuts([t for t in self.ranks if len(t) > 1])
+        return self._cuts
 
     def _class_of(self, c: str) -> int:
         n = len(c.encode()) + 1

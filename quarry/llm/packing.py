@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.byte_vocab import json_vocab, segments
 from quarry.llm.pretokens import Known, chunks, distinct, gathered
-from quarry.llm.store import block_no, documents, id_and_text, written
+from quarry.llm.store import block_no, documents, id_and_text, tidy, written
 
 CAPACITY = 2048
 #: Blocks over which the pieces of one length are dealt, at least.
@@ -51,14 +51,14 @@ class _Encoder:
         p = self.vocab.splitter.split(parts, special)
         if not len(p.starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        firsts, codes = distinct(p.keys)
+        firsts, codes = distinct(p.keys, p.checks)
         if self.known.size > self.known.most:
             self._empty()
-        slots = self.known.find(p.keys[firsts])
+        slots = self.known.find(p.keys[firsts], p.checks[firsts])
         if (new := np.flatnonzero(slots < 0)).size:
             found = self.vocab.tokenizer.encode_batch([p.text(i) for i in firsts[new].tolist()], add_special_tokens=False)
             rows = [e.ids for e in found]
-            slots[new] = self.known.add(p.keys[firsts[new]])
+            slots[new] = self.known.add(p.keys[firsts[new]], p.checks[firsts[new]])
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             self.ids = np.concatenate([self.ids, np.fromiter((x for r in rows for x in r), np.uint32, int(sizes.sum()))])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
@@ -102,7 +102,7 @@ def encoded_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, e
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return id_and_text(docs, id_col, text_col).mapInArrow(encoded, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(encoded, 16_000_000), schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
