@@ -82,9 +82,10 @@ def without_boilerplate(
     """
     bad = removals(docs, min_sites, id_col, text_col, site_col)
     new = ("n_lines", "n_removed") if counts else ()
+    others = [c for c in docs.columns if c not in (*new, text_col)]
     keys = _row_key(docs, id_col, text_col)
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], docs[f"`{text_col}`"].cast("string").alias("_text"), row_of(docs, new).alias("_row"))
-    rows = rows.alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select("d._row", "d._text", "b._bad", "b._copied")
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], docs[f"`{text_col}`"].cast("string").alias("_text"), *([row_of(docs, (*new, text_col)).alias("_row")] if others else []))
+    rows = rows.alias("d").join(bad.alias("b"), on=[F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how="left").select(*(["d._row"] if others else []), "d._text", "b._bad", "b._copied")
     lines = F.split("_text", "\n")
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
 
@@ -96,7 +97,8 @@ def without_boilerplate(
     rows = rows.withColumn("_new", F.when(F.size("_bad") > 0, let(_without(lines, F.col("_bad")), judged)))
     n = F.coalesce(F.size(lines), F.lit(0))
     kind = docs.schema[text_col].dataType
-    out = [(F.when(F.col("_new").isNull(), F.col(f"_row.`{c}`")).otherwise(F.col("_new.text").cast(kind)) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in new]
+    text = F.when(F.col("_new").isNull(), F.col("_text")).otherwise(F.col("_new.text")).cast(kind)
+    out = [(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in new]
     if counts:
         out += [n.cast("long").alias("n_lines"), F.when(F.col("_new").isNull(), F.lit(0)).otherwise(n - F.col("_new.n")).cast("long").alias("n_removed")]
     return rows.select(*out)
