@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.pretokens import distinct, mixed
-from quarry.llm.store import documents, id_and_text
+from quarry.llm.store import documents, id_and_text, tidy, written
 from quarry.llm.wordhash import WordHashes
 
-BITS, RADIUS = 256, 7
+#: Every so many-th id is a query of the radius search.
+BITS, RADIUS, QUERY_EVERY = 256, 7, 20
 _NULL_RANGES = 16
 
 
@@ -89,24 +90,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = [f.hex() for f in hasher.fingerprints(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(made, "doc_id long, fingerprint string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(made), "doc_id long, fingerprint string")
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, col: str = "fingerprint") -> DataFrame:
-    """query, found, distance: all pairs of distinct fingerprints (hex, of one
-    length) of the two tables at most ``radius`` bits apart.  Rows that share a
-    fingerprint share its pairs; nulls have none."""
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, col: str = "fingerprint", digits: int = BITS // 4) -> DataFrame:
+    """query, found, distance: all pairs of distinct fingerprints (hex, of
+    ``digits`` digits) of the two tables at most ``radius`` bits apart.  Rows that share a
+    fingerprint share its pairs; nulls have none.  A pair comes from the first
+    of the ``radius`` + 1 tables whose block the two share."""
+    cuts = [i * digits // (radius + 1) for i in range(radius + 2)]
+    blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    block = lambda name, k: F.substring(F.col(name), blocks[k][0] + 1, blocks[k][1])
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        distinct = df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
-        digits = F.length(name)
-        block = lambda i: F.substring(F.col(name), (F.floor(i * digits / (radius + 1)) + 1).cast("int"), (F.floor((i + 1) * digits / (radius + 1)) - F.floor(i * digits / (radius + 1))).cast("int"))
-        return distinct.select(name, F.posexplode(F.array(*[block(F.lit(i)) for i in range(radius + 1)])).alias("_table", "_key"))
+        distinct = df.select(F.col(col).alias(name)).where(F.length(col) == digits).distinct()
+        return distinct.select(name, F.posexplode(F.array(*[block(name, k) for k in range(radius + 1)])).alias("_table", "_key"))
 
-    pairs = tables(queries, "query").join(tables(index, "found"), ["_table", "_key"]).where(F.length("query") == F.length("found"))
+    pairs = tables(queries, "query").join(tables(index, "found"), ["_table", "_key"])
+    first = F.lit(radius)
+    for k in reversed(range(radius)):
+        first = F.when(block("query", k) == block("found", k), k).otherwise(first)
     part = lambda name, k: F.conv(F.substring(F.col(name), 1 + 8 * k, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(part("query", k).bitwiseXOR(part("found", k))) for k in range(BITS // 32)), F.lit(0))
-    return pairs.select("query", "found", distance.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
+    distance = sum((F.bit_count(part("query", k).bitwiseXOR(part("found", k))) for k in range(-(-digits // 8))), F.lit(0))
+    return pairs.where(F.col("_table") == first).select("query", "found", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
+
+
+def with_neighbours(marked: DataFrame, every: int = QUERY_EVERY, radius: int = RADIUS) -> DataFrame:
+    """``marked`` (a written table with doc_id and fingerprint) with near_others:
+    for a row whose id is divisible by ``every`` the number of other distinct
+    fingerprints of the table within ``radius``, else null."""
+    asked = F.col("doc_id") % every == 0
+    found = within_radius(marked.where(asked).select("fingerprint"), marked, radius)
+    counts = found.where("query <> found").groupBy("query").agg(F.count("*").alias("near_others"))
+    # Queries only are joined, the rest gets a null.
+    queries = marked.where(asked).join(counts, F.col("fingerprint") == F.col("query"), "left").drop("query").withColumn("near_others", F.coalesce("near_others", F.lit(0)).cast("long"))
+    return queries.unionByName(marked.where(F.coalesce(~asked, F.lit(True))).withColumn("near_others", F.lit(None).cast("long")))
 
 
 def _in_ranges(texts: DataFrame, rows_per_range: int, most_ranges: int) -> DataFrame:
@@ -146,7 +164,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Rows follow each other by id, equal ids by text; the last is followed by
     the first, and so is each row without an id.  In a table without any id a
     row follows itself.  Null texts count as empty, a document alone follows
-    itself; an empty table gives an empty table; other columns are not read.
+    itself; an empty table gives an empty table; other columns are not read;
+    texts of any length count whole, in votes of whole numbers.
     """
     texts = id_and_text(docs, id_col, text_col)
     dealt = _in_ranges(texts, rows_per_range, most_ranges)
@@ -183,11 +202,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             rows.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), own.hex(), changed.hex(), likeness(own, changed), likeness(own, other)))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return dealt.select("doc_id", "text", "_range", "_kind").mapInArrow(followed, ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "string", "string", "string", "double", "double"))))
+    return dealt.select("doc_id", "text", "_range", "_kind").mapInArrow(tidy(followed), ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "string", "string", "string", "double", "double"))))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(documents(spark, sf_dir))
+    return with_neighbours(written(with_next(documents(spark, sf_dir)), "fingerprints"))
 
 
 QUERIES = {"op8_fingerprints": op8_fingerprints}
