@@ -45,6 +45,18 @@ def _v6_safe(text: str) -> bool | None:
     return not any(ip in net for net in map(ipaddress.ip_network, lex.DENIED_V6))
 
 
+def address_is_public(text: str) -> bool:
+    """Whether one address (v4 or v6, with or without a zone) may be reached."""
+    text = text.split("%", 1)[0]
+    if ":" in text:
+        return bool(_v6_safe(text))
+    try:
+        ip = ipaddress.IPv4Address(text)
+    except ValueError:
+        return False
+    return not any(ip in net for net in map(ipaddress.ip_network, lex.DENIED_V4))
+
+
 def with_safety(addresses: DataFrame, ip_col: str = "ip", out: str = "safe") -> DataFrame:
     """``addresses`` with whether each (v4 or v6) is public; what is no address
     is not safe.  Only v6 addresses need Python."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import understand as u
-from quarry.functions.expr import alower, core, words
+from quarry.functions.expr import alower, core, let, words
 from quarry.functions.urls import url_key
 from quarry.options import InvalidConfiguration, RankingPolicy
 from quarry.store import written
@@ -32,20 +32,31 @@ def _joined(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats, "query_id")
 
 
-def with_bm25(passages: DataFrame, out: str = "sparse_score") -> DataFrame:
-    """``passages`` with their BM25 score among the passages of their query; a
-    word that the query repeats counts again."""
-    terms = passages.withColumn("_asked", words(F.lower("query"))).withColumn("_terms", F.array_distinct("_asked"))
-    terms = terms.withColumn("_tokens", words(F.lower("text"))).withColumn("_len", F.size("_tokens"))
+def with_hay(passages: DataFrame) -> DataFrame:
+    """``passages`` with what a search for words needs of their text, worked out
+    before a passage is repeated for several queries."""
+    tokens = passages.withColumn("_tokens", words(F.lower("text")))
     # Between two blanks each, a word is found by plain string search.
-    padded = terms.withColumn("_hay", F.concat(F.lit(" "), F.array_join("_tokens", "  "), F.lit(" "))).drop("_tokens")
+    return tokens.withColumns({"_len": F.size("_tokens"), "_hay": F.concat(F.lit(" "), F.array_join("_tokens", "  "), F.lit(" "))}).drop("_tokens")
+
+
+def term_counts(passages: DataFrame) -> DataFrame:
+    """``passages`` with _asked, _terms (distinct), _len and _tf, all that BM25
+    needs of a passage: the rest may be left out before ``scored``."""
+    own = passages if "_hay" in passages.columns else with_hay(passages)
+    terms = own.withColumn("_asked", words(F.lower("query"))).withColumn("_terms", F.array_distinct("_asked"))
     found = lambda t: ((F.octet_length("_hay") - F.octet_length(F.replace(F.col("_hay"), F.concat(F.lit(" "), t, F.lit(" ")), F.lit("")))) / (F.octet_length(t) + 2)).cast("int")
-    counted = padded.withColumn("_tf", F.transform("_terms", found)).drop("_hay")
+    return terms.withColumn("_tf", F.transform("_terms", found)).drop("_hay")
+
+
+def scored(counted: DataFrame, out: str = "sparse_score") -> DataFrame:
+    """``counted`` (as of ``term_counts``; it is read twice, so a written table)
+    with the BM25 score of each row among the rows of its query."""
     # One pass for all sums of a query: place 0 has the lengths, the others the passages with a term.
     places = F.concat(F.array(F.col("_len").cast("long")), F.transform("_tf", lambda n: (n > 0).cast("long")))
     sums = counted.select("query_id", F.posexplode(places).alias("_pos", "_v")).groupBy("query_id", "_pos").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
     stats = sums.groupBy("query_id").agg(F.max("_n").alias("_N"), F.array_sort(F.collect_list(F.struct("_pos", "_s"))).alias("_sums"))
-    scored = _joined(counted, stats).withColumn("_avg", F.get("_sums", F.lit(0))["_s"] / F.col("_N"))
+    both = _joined(counted, stats).withColumn("_avg", F.get("_sums", F.lit(0))["_s"] / F.col("_N"))
     norm = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
 
     def part(tf: Column, i: Column) -> Column:
@@ -54,7 +65,13 @@ def with_bm25(passages: DataFrame, out: str = "sparse_score") -> DataFrame:
         return times * F.ln(1 + (F.col("_N") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
 
     score = F.aggregate(F.transform("_tf", part), F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn(out, F.when(F.col("_avg") > 0, score).otherwise(F.lit(0.0))).drop("_asked", "_terms", "_len", "_tf", "_N", "_sums", "_avg")
+    return both.withColumn(out, F.when(F.col("_avg") > 0, score).otherwise(F.lit(0.0))).drop("_asked", "_terms", "_len", "_tf", "_N", "_sums", "_avg")
+
+
+def with_bm25(passages: DataFrame, out: str = "sparse_score") -> DataFrame:
+    """``passages`` with their BM25 score among the passages of their query; a
+    word that the query repeats counts again."""
+    return scored(written(term_counts(passages), "term-counts"), out)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -90,7 +107,7 @@ def pre_scored(passages: DataFrame, out: str = "pre_score") -> DataFrame:
     """BM25 plus 2 for each anchor in the text, 1 in the title, and half for
     each subject token in the text."""
     text, title = alower("text"), alower("source_title")
-    hits = lambda tokens, hay, w: F.aggregate(tokens, F.lit(0.0), lambda a, t: a + F.when(F.contains(hay, t), F.lit(w)).otherwise(F.lit(0.0)))
+    hits = lambda tokens, hay, w: let(hay, lambda h: F.aggregate(tokens, F.lit(0.0), lambda a, t: a + F.when(F.contains(h, t), F.lit(w)).otherwise(F.lit(0.0))))
     anchors, subjects = u.anchors("query"), u.subject_tokens("query")
     return passages.withColumn(out, F.col("sparse_score") + hits(anchors, text, 2.0) + hits(anchors, title, 1.0) + hits(subjects, text, 0.5))
 
@@ -132,13 +149,21 @@ def scaled(passages: DataFrame, mode: str) -> DataFrame:
     return _joined(kept, best).withColumn("score", F.when(F.col("_max") > _EPSILON, share).otherwise(F.lit(0.0))).drop("_max")
 
 
+def needed_tokens(query: Column | str = "query") -> Column:
+    """The anchors of a query or, if it has none, its subject tokens."""
+    return let(u.anchors(query), lambda a: F.when(F.size(a) > 0, a).otherwise(u.subject_tokens(query)))
+
+
+def lacks_tokens(tokens: Column) -> Column:
+    """Whether a passage has none of the tokens that its query needs."""
+    hay = alower(F.concat_ws(" ", "source_title", "text"))
+    return (F.size(tokens) > 0) & ~let(hay, lambda h: F.exists(tokens, lambda t: F.contains(h, t)))
+
+
 def penalised(passages: DataFrame, policy: RankingPolicy = RankingPolicy()) -> DataFrame:
     """Passages without any anchor of the query (or, if it has none, any of its
-    subject tokens) fall below the floor."""
-    anchors = u.anchors("query")
-    tokens = F.when(F.size(anchors) > 0, anchors).otherwise(u.subject_tokens("query"))
-    hay = alower(F.concat_ws(" ", "source_title", "text"))
-    missing = (F.size(tokens) > 0) & ~F.exists(tokens, lambda t: F.contains(hay, t))
+    subject tokens) fall below the floor; ``_lacks`` says so, or ``_needed`` which tokens, if it is known."""
+    missing = F.col("_lacks") if "_lacks" in passages.columns else lacks_tokens(F.col("_needed") if "_needed" in passages.columns else needed_tokens())
     lowered = F.col("score") * PENALTY
     if policy.min_score > 0:
         lowered = F.least(lowered, F.lit(max(policy.min_score - BELOW_FLOOR, 0.0)))

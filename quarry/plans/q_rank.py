@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.expr import sql_alower, sql_string, sql_words
 from quarry.operators import chunking, ranking
 from quarry.options import RankingPolicy
+from quarry.plans.q_text import sql_anchors, sql_distinct, sql_subjects
+from quarry.store import written
 
 #: Queries over all passages of all documents.
 ASKED = [(1, "Licensed under the Apache License, Version 2.0."), (2, "released under the mit license and the thentien"), (3, "of the and to and"), (4, "GNU General Public License")]
@@ -21,8 +23,24 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each query: one literal row for each query and passage."""
-    asked = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query")) for i, q in ASKED])
-    return _passages(spark, sf_dir).withColumn("a", F.explode(asked)).select("a.*", "*").drop("a")
+    return _repeated(_passages(spark, sf_dir))
+
+
+def _repeated(passages: DataFrame) -> DataFrame:
+    """What a query needs is worked out once for a query, not for each passage."""
+    tiny = passages.sparkSession.createDataFrame(ASKED, "query_id int, query string").select("query_id", "query", ranking.needed_tokens().alias("needed"))
+    tokens = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    asked = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["query"]).alias("query"), tokens(r["needed"]).alias("_needed")) for r in tiny.collect()])
+    return passages.withColumn("a", F.explode(asked)).select("a.*", "*").drop("a")
+
+
+def _scored(spark: SparkSession, sf_dir: str, lacks: bool = True) -> DataFrame:
+    """Scores without the texts: each passage is cut and searched once, and a
+    narrow table of ids and counts is written."""
+    counted = ranking.term_counts(_repeated(ranking.with_hay(_passages(spark, sf_dir))))
+    if lacks:
+        counted = counted.withColumn("_lacks", ranking.lacks_tokens(F.col("_needed")))
+    return ranking.scored(written(counted.drop("text", "query", "source_title", "source_url", "_needed"), "term-counts"))
 
 
 def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +56,14 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.with_bm25(_asked(spark, sf_dir)).withColumn("score", F.round("sparse_score", 6)).withColumn("raw_score", F.lit(0))
+    scored = _scored(spark, sf_dir, lacks=False).withColumn("score", F.round("sparse_score", 6)).withColumn("raw_score", F.lit(0))
     return scored.withColumn("rank", ranking.rank_column()).where(F.col("rank") <= TOP).select("query_id", "rank", F.col("page_ord").alias("doc_id"), F.col("passage_index").cast("long").alias("passage_index"), "score")
 
 
 def bm25_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaling, penalty and floor; the best of each query (near-duplicates stay)."""
     policy = RankingPolicy()
-    scored = ranking.with_bm25(_asked(spark, sf_dir)).withColumn("score", F.col("sparse_score"))
+    scored = written(_scored(spark, sf_dir).withColumn("score", F.col("sparse_score")), "scored")
     kept = ranking.floored(ranking.penalised(ranking.scaled(scored, "sparse"), policy), policy)
     kept = kept.withColumns({"score": F.round("score", 6), "raw_score": F.round("raw_score", 6)})
     return kept.withColumn("rank", ranking.rank_column()).where(F.col("rank") <= TOP).select("query_id", "rank", F.col("page_ord").alias("doc_id"), F.col("passage_index").cast("long").alias("passage_index"), "score", "raw_score")
@@ -90,12 +108,13 @@ c AS (SELECT doc_id, i AS passage_index, array_to_string(words[i * {step} + 1:i
       FROM w, unnest(range(CASE WHEN len(words) = 0 THEN 0 WHEN len(words) <= {SIZE} THEN 1 ELSE ceil((len(words) - {SIZE}) / {step}.0)::BIGINT + 1 END)) AS t(i))"""
 
 
-_ANCHORED = {1: ["licensed", "apache", "license", "version", "2.0"], 2: ["released", "under", "mit", "license", "thentien"], 3: [], 4: ["gnu", "general", "public", "license"]}
+_TOKENS = f"""a0 AS (SELECT query_id, {sql_anchors('query')} AS x, {sql_subjects('query')} AS y FROM q),
+a AS (SELECT query_id, {sql_distinct('x')} AS anchors, {sql_distinct('y')} AS subjects, CASE WHEN len(x) > 0 THEN {sql_distinct('x')} ELSE {sql_distinct('y')} END AS needed FROM a0)"""
 _Q = f"q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {sql_string(q)})' for i, q in ASKED)}) AS t(query_id, query))"
 
 
 def _bm25_sql(where: str = "true") -> str:
-    return f"""{_chunk_sql("WHERE lang = 'en'")}, {_Q},
+    return f"""{_chunk_sql()}, {_Q},
 p AS (SELECT query_id, query, doc_id, passage_index, text, {sql_words('lower(text)')} AS tokens FROM c, q WHERE {where}),
 n AS (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM p GROUP BY query_id),
 qt AS (SELECT query_id, term, count(*) AS times, min(pos) AS pos FROM (SELECT query_id, unnest({sql_words('lower(query)')}) AS term, generate_subscripts({sql_words('lower(query)')}, 1) AS pos FROM q) GROUP BY query_id, term),
@@ -106,9 +125,9 @@ s AS (SELECT tf.query_id, doc_id, passage_index, sum(times * ln(1 + (n - df + 0.
 
 
 _BM25 = _bm25_sql()
-_CALIBRATED = f"""{_BM25}, a AS (SELECT * FROM (VALUES {", ".join(f"({i}, [{', '.join(map(sql_string, x))}]::VARCHAR[])" for i, x in _ANCHORED.items())}) AS t(query_id, anchors)),
+_CALIBRATED = f"""{_BM25}, {_TOKENS},
 x AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score AS raw, CASE WHEN max(s.score) OVER (PARTITION BY s.query_id) > 1.1920929e-07 THEN s.score / max(s.score) OVER (PARTITION BY s.query_id) ELSE 0 END AS share,
-      len(anchors) > 0 AND NOT coalesce(list_bool_or(list_transform(anchors, lambda t: contains({sql_alower("' ' || p.text")}, t))), false) AS missing
+      len(needed) > 0 AND NOT coalesce(list_bool_or(list_transform(needed, lambda t: contains({sql_alower("' ' || p.text")}, t))), false) AS missing
       FROM s JOIN p USING (query_id, doc_id, passage_index) JOIN a USING (query_id)),
 y AS (SELECT *, CASE WHEN missing THEN least(share * 0.3, 0.1) ELSE share END AS final FROM x)"""
 
@@ -116,12 +135,12 @@ QUERIES = {
     "chunk_words": chunk_words, "chunk_paragraphs": chunk_paragraphs, "bm25_topk": bm25_topk, "bm25_calibrated": bm25_calibrated, "entity_penalty": entity_penalty,
     "cosine_topk": cosine_topk, "hybrid_rank": hybrid_rank, "near_duplicates_greedy": near_duplicates_greedy,
 }
-_HIT = lambda xs, w: f"{w} * len(list_filter([{', '.join(map(sql_string, xs))}], lambda t: contains({sql_alower('p.text')}, t)))"
-_HYBRID = f"""{_bm25_sql("query_id = 1 AND passage_index = 0 AND doc_id IN (SELECT vec_id FROM embeddings)")},
-pre AS (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (ORDER BY s.score + {_HIT(_ANCHORED[1], 2.0)} + {_HIT(["licensed", "under", "apache", "license", "version", "2.0"], 0.5)} DESC, s.doc_id) <= 10 AS to_embed
-        FROM s JOIN p USING (query_id, doc_id, passage_index)),
-hy AS (SELECT pre.*, CASE WHEN max(score) OVER () > 1.1920929e-07 THEN score / max(score) OVER () ELSE 0 END AS share, CASE WHEN to_embed THEN list_cosine_similarity(v.embedding::DOUBLE[], q1.embedding::DOUBLE[]) END AS dense
-       FROM pre JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings q1 ON q1.vec_id = 1)"""
+_HIT = lambda xs, w: f"{w} * len(list_filter({xs}, lambda t: contains({sql_alower('p.text')}, t)))"
+_HYBRID = f"""{_bm25_sql("doc_id IN (SELECT vec_id FROM embeddings)")}, {_TOKENS},
+pre AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score + {_HIT('anchors', 2.0)} + {_HIT('subjects', 0.5)} DESC, s.doc_id, s.passage_index) <= 10 AS to_embed
+        FROM s JOIN p USING (query_id, doc_id, passage_index) JOIN a USING (query_id)),
+hy AS (SELECT pre.*, CASE WHEN max(score) OVER w > 1.1920929e-07 THEN score / max(score) OVER w ELSE 0 END AS share, CASE WHEN to_embed THEN list_cosine_similarity(v.embedding::DOUBLE[], qv.embedding::DOUBLE[]) END AS dense
+       FROM pre JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings qv ON qv.vec_id = query_id WINDOW w AS (PARTITION BY query_id))"""
 ORACLES = {
     "chunk_words": f"WITH {_chunk_sql()} SELECT doc_id, passage_index::BIGINT AS passage_index, md5(text) AS text_md5 FROM c",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, passage_index)::INT AS rank, doc_id, passage_index::BIGINT AS passage_index, round(score, 6) AS score FROM s QUALIFY rank <= {TOP}",
@@ -129,5 +148,5 @@ ORACLES = {
       doc_id, passage_index::BIGINT AS passage_index, round(final, 6) AS score, round(raw, 6) AS raw_score FROM y WHERE final >= 0.12 QUALIFY rank <= {TOP}""",
     "entity_penalty": f"WITH {_CALIBRATED} SELECT query_id, count(*) FILTER (missing) AS penalised, count(*) AS passages, min(CASE WHEN missing THEN 0.1 ELSE 0.9 END)::DOUBLE AS least FROM y GROUP BY query_id",
     "cosine_topk": f"SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, v.vec_id LIMIT {TOP}",
-    "hybrid_rank": f"WITH {_HYBRID} SELECT query_id, doc_id, to_embed, round(dense, 4) AS dense_score, round(least(greatest(CASE WHEN to_embed THEN 0.65 * least(greatest(dense, 0), 1) + 0.35 * share ELSE share END, 0), 1), 4) AS score FROM hy",
+    "hybrid_rank": f"WITH {_HYBRID} SELECT query_id, doc_id, passage_index::BIGINT AS passage_index, to_embed, round(dense, 4) AS dense_score, round(least(greatest(CASE WHEN to_embed THEN 0.65 * least(greatest(dense, 0), 1) + 0.35 * share ELSE share END, 0), 1), 4) AS score FROM hy",
 }

@@ -9,7 +9,7 @@ from quarry.functions import lexicon as lex
 from quarry.functions.expr import sql_alower, sql_list, sql_string
 from quarry.operators import ranking
 from quarry.operators import verification as v
-from quarry.plans.q_text import SAMPLE, SQL_SHAPES, sql_distinct, sql_subjects
+from quarry.plans.q_text import SAMPLE, SQL_SHAPES, sql_anchors, sql_distinct, sql_subjects
 
 #: Titles that some passages have, to meet the questions' words.
 TITLES = ["Rust HTML libraries", "The capital of Australia: Canberra", "Berlin Wall, 1989", "gold 79", ""]
@@ -49,7 +49,7 @@ def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = f"q AS (SELECT query_id::BIGINT AS query_id, query FROM (VALUES {', '.join(f'({i}, {sql_string(x)})' for i, x in enumerate(SAMPLE))}) AS t(query_id, query))"
-_P = f"p AS (SELECT doc_id % {N + 6} AS query_id, doc_id, text, {sql_list(TITLES)}[(doc_id % 5) + 1] AS title FROM documents WHERE doc_id % {N + 6} < {N - 4})"
+_P = f"p AS (SELECT doc_id % {N} AS query_id, doc_id, text, {sql_list(TITLES)}[(doc_id % 5) + 1] AS title FROM documents)"
 
 
 def _coverage_sql(source: str) -> str:
@@ -70,13 +70,14 @@ pre AS (SELECT s.query_id, shape, CASE WHEN shape = 'not_value_seeking' THEN 'no
 
 QUERIES = {"coverage": coverage, "answer_presence": answer_presence, "failure_classes": failure_classes}
 ORACLES = {
-    "coverage": f"WITH {_Q}, {_P}, few AS (SELECT * FROM p WHERE doc_id < 60), {_coverage_sql('few')} SELECT q.query_id, round(coalesce(coverage, 1), 6) AS coverage, coalesce(uncovered, '') AS uncovered FROM q LEFT JOIN cov USING (query_id)",
-    "answer_presence": f"WITH {_Q}, {_P}, few AS (SELECT * FROM p WHERE doc_id < 40), {_presence_sql('few')} SELECT query_id, shape, presence FROM pre",
-    "failure_classes": f"""WITH {_Q}, {_P}, pp AS (SELECT * FROM p WHERE doc_id < 80), fl AS (SELECT * FROM pp WHERE query_id % 2 = 0), {_coverage_sql('fl')},
-      o1 AS (SELECT fl.* FROM fl LEFT JOIN cov USING (query_id) WHERE coalesce(n_uncovered, 0) < 2), pgs AS (SELECT query_id, count(*) AS n FROM pp WHERE query_id % 3 <> 0 GROUP BY query_id),
-      th AS (SELECT o.query_id, count(*) = 1 AND max(coalesce(pgs.n, 0)) = 1 AS thin FROM o1 o LEFT JOIN pgs USING (query_id) GROUP BY o.query_id),
+    "coverage": f"WITH {_Q}, {_P}, {_coverage_sql('p')} SELECT q.query_id, round(coalesce(coverage, 1), 6) AS coverage, coalesce(uncovered, '') AS uncovered FROM q LEFT JOIN cov USING (query_id)",
+    "answer_presence": f"WITH {_Q}, {_P}, {_presence_sql('p')} SELECT query_id, shape, presence FROM pre",
+    "failure_classes": f"""WITH {_Q}, {_P}, a AS (SELECT query_id, CASE WHEN len({sql_anchors('query')}) > 0 THEN {sql_anchors('query')} ELSE {sql_subjects('query')} END AS needed FROM q),
+      fl AS (SELECT p.* FROM p JOIN a USING (query_id) WHERE len(needed) = 0 OR list_bool_or(list_transform(needed, lambda t: contains({sql_alower("title || ' ' || text")}, t)))), {_coverage_sql('fl')},
+      o1 AS (SELECT fl.* FROM fl LEFT JOIN cov USING (query_id) WHERE coalesce(n_uncovered, 0) < 2), pgs AS (SELECT query_id, count(*) AS n FROM p GROUP BY query_id),
+      th AS (SELECT q.query_id, count(o.doc_id) = 1 AND coalesce(max(pgs.n), 0) = 1 AS thin FROM q LEFT JOIN o1 o USING (query_id) LEFT JOIN pgs USING (query_id) GROUP BY q.query_id),
       o2 AS (SELECT o1.* FROM o1 JOIN th USING (query_id) WHERE NOT thin), {_presence_sql('o2')}
       SELECT q.query_id, CASE WHEN q.query_id = 7 THEN 'no_hits' WHEN (SELECT count(*) FROM o2 WHERE o2.query_id = q.query_id) > 0 THEN NULL WHEN th.thin THEN 'thin_evidence' WHEN presence = 'absent' THEN 'answer_absent'
-        WHEN coalesce(pgs.n, 0) = 0 THEN 'fetch_starved' WHEN (SELECT count(*) FROM pp WHERE pp.query_id = q.query_id) > 0 THEN 'low_score_floor' ELSE 'fetch_starved' END AS failure_class
+        WHEN coalesce(pgs.n, 0) = 0 THEN 'fetch_starved' ELSE 'low_score_floor' END AS failure_class
       FROM q LEFT JOIN th USING (query_id) LEFT JOIN pre USING (query_id) LEFT JOIN pgs USING (query_id)""",
 }

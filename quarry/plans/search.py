@@ -2,14 +2,14 @@
 
 ``queries`` has query_id and query; ``hits`` the providers' result lists (see
 quarry.operators.candidates); ``fetched`` what addresses answered (url, body,
-content_type, error).  What several later steps need is written once, to the
+content_type, error), or a function that fetches a table of url and fetch_ord.  What several later steps need is written once, to the
 shared folder: hits in order, pages, ranked passages and what is delivered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +25,14 @@ class SearchResult:
     pages: DataFrame
     passages: DataFrame
     metrics: DataFrame
+    #: query_id, engine, skip, error, hits, latency_ms of every provider, if the engine asked them.
+    providers: DataFrame | None = None
+    #: Milliseconds of the engine's steps.
+    timings: dict[str, int] = field(default_factory=dict)
 
 
 def search(
-    queries: DataFrame, hits: DataFrame, fetched: DataFrame, options: SearchOptions = SearchOptions(), engine: EngineOptions = EngineOptions(), embed: Callable[[list[str]], list[list[float]]] | None = None
+    queries: DataFrame, hits: DataFrame, fetched: DataFrame | Callable[[DataFrame], DataFrame], options: SearchOptions = SearchOptions(), engine: EngineOptions = EngineOptions(), embed: Callable[[list[str]], list[list[float]]] | None = None
 ) -> SearchResult:
     asked = queries.select("query_id", F.trim("query").alias("query")).where("query <> ''")
     own = hits.join(asked, "query_id", "left_semi")
@@ -36,6 +40,8 @@ def search(
     listed = written(candidates.interleaved(own), "listed")
     agreed = candidates.consensus(own)
     wanted = written(candidates.ordered(listed.drop("query").join(asked, "query_id"), options.pool), "wanted")
+    if callable(fetched):
+        fetched = written(fetched(wanted.groupBy("url").agg(F.min("fetch_ord").alias("fetch_ord"))), "fetched")
     answers = fetched.where("error IS NULL").select("url", F.col("body").alias("html"))
     pages = written(extraction.gated(wanted.select("query_id", "query", "fetch_ord", "url").join(answers, "url"), options), "pages")
     cut = written(chunking.passages(pages.select("query_id", "query", "page_ord", F.col("url").alias("source_url"), F.col("title").alias("source_title"), "markdown"), options.chunk_words, options.chunk_overlap), "passages")

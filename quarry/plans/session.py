@@ -13,7 +13,9 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from quarry.functions import lexicon as lex
-from quarry.options import EngineOptions, FanoutPolicy, RankingPolicy, SearchOptions
+from quarry.options import EngineOptions, FanoutPolicy, InvalidConfiguration, RankingPolicy, SearchOptions
+from quarry.plans.live import LiveRun
+from quarry.sources.fetch import Resolver, Transport, plain_transport, system_resolver
 
 CAPACITY, LEAST_WAIT_S, MOST_WAIT_S = 50, 0.05, 5.0
 
@@ -94,6 +96,12 @@ class SearchEngine:
         self.spark, self.options, self._run, self._empty = spark, options, run, empty
         self.cache, self.coalescer = ResultCache(), Coalescer()
 
+    def fetch_page(self, url: str, options: SearchOptions = SearchOptions()) -> dict:
+        """One page, read as a search reads it."""
+        if not hasattr(self._run, "fetch_page"):
+            raise InvalidConfiguration("this engine's source fetches no single pages")
+        return self._run.fetch_page(url, options)
+
     @property
     def providers(self) -> list[str]:
         return list(self.options.providers)
@@ -118,6 +126,8 @@ class EngineBuilder:
         self.spark, self.settings = spark, {}
         self._run: Callable[[str, SearchOptions], Any] | None = None
         self.embedder: Callable[[list[str]], list[list[float]]] | None = None
+        self.transport: Transport | None = None
+        self.resolver: Resolver = system_resolver
 
     def _with(self, **settings: Any) -> EngineBuilder:
         self.settings |= settings
@@ -148,6 +158,11 @@ class EngineBuilder:
     def with_searxng_url(self, url: str | None) -> EngineBuilder:
         return self._with(searxng_url=url)
 
+    def with_transport(self, get: Transport, resolve: Resolver = system_resolver) -> EngineBuilder:
+        """How addresses are asked and names resolved; both run on executors."""
+        self.transport, self.resolver = get, resolve
+        return self
+
     def with_source(self, run: Callable[[str, SearchOptions], Any]) -> EngineBuilder:
         """What works out the result of one query that is not in the cache."""
         self._run = run
@@ -155,4 +170,5 @@ class EngineBuilder:
 
     def build(self) -> SearchEngine:
         options = replace(EngineOptions(), **self.settings)
-        return SearchEngine(self.spark, self._run or (lambda query, _: None), options)
+        get = self.transport or plain_transport(options.fetch_timeout_ms, options.max_response_bytes)
+        return SearchEngine(self.spark, self._run or LiveRun(self.spark, options, get, self.resolver, self.embedder), options)
