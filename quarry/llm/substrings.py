@@ -6,8 +6,8 @@ super-k-mer) to the bucket of their minimiser, so all occurrences of a window
 meet there; sorting ranks the windows of a bucket exactly, word for word.
 
 Only minimisers met in two documents or more can hold a repeated window.  They
-are found by a first, narrow aggregation and go into a bitmap of fixed size
-that every task filters by.  Equal super-k-mers are joined to one with their
+are found by a first, narrow aggregation and go into a bitmap
+that every task filters by, or are joined to their documents where they are too many for one.  Equal super-k-mers are joined to one with their
 smallest document before they move to the buckets, and a minimiser with very
 many different strings is dealt out by window instead.
 """
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.store import documents, id_and_text, row_of, tidy, written
-from quarry.llm.wordhash import Filter, hashed_texts, signed, sliding_min, window_hashes
+from quarry.llm.wordhash import MOST_BITS, Filter, hashed_texts, signed, sliding_min, window_hashes
 
 WINDOW, GRAM = 50, 16
 #: Windows of one super-k-mer; different strings of a minimiser that one task
-#: sorts; words that a task sorts at once.
-MOST_WINDOWS, HOT_STRINGS, WORDS_AT_ONCE = 256, 1_000, 300_000
+#: sorts; words that a task sorts at once; bytes of strings in a task.
+MOST_WINDOWS, HOT_STRINGS, WORDS_AT_ONCE, TASK_BYTES = 256, 1_000, 300_000, 1 << 26
 
 
 def super_kmers(hashes: np.ndarray, width: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +52,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).withColumn("_t", F.xxhash64("text"))
 
 
-def _repeated(rows: DataFrame, width: int, gram: int) -> Filter:
+def _met(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """minimiser, doc_id of every document's minimisers."""
+
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -62,21 +64,32 @@ def _repeated(rows: DataFrame, width: int, gram: int) -> Filter:
                 ids.append(np.full(len(found), key, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(ids))], names=["minimiser", "doc_id"])
 
-    met = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(minimisers), "minimiser long, doc_id long")
-    both = met.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return Filter(written(both.select("minimiser"), "repeated"), "minimiser")
+    return rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(minimisers), "minimiser long, doc_id long")
 
 
-def _packed(rows: DataFrame, repeated: Filter, width: int, gram: int) -> DataFrame:
-    """doc_id, _t, minimiser, first, packed of super-k-mers that may repeat."""
+def _packed(rows: DataFrame, width: int, gram: int, filter_bits: int) -> DataFrame:
+    """doc_id, _t, minimiser, first, packed of super-k-mers that may repeat.
+
+    Minimisers of two documents or more are looked up in a bitmap; where they
+    are too many for ``filter_bits``, each document is joined with its own."""
+    met = _met(rows, width, gram)
+    both = met.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    several = written(both.select("minimiser"), "repeated")
+    repeated = Filter(several, "minimiser", filter_bits)
+    rows = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "_t")
+    if exact := repeated.passes_all:
+        own = met.join(several, "minimiser", "left_semi").groupBy("doc_id").agg(F.collect_set("minimiser").alias("own"))
+        rows = rows.join(own, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for key, text, t, hashes in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), hashed_texts(texts)):
+            for i, (key, text, t, hashes) in enumerate(zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), hashed_texts(texts))):
                 least, first, n = super_kmers(hashes, width, gram)
-                keep = np.flatnonzero(repeated(least)) if len(least) else []
+                if not len(least):
+                    continue
+                keep = np.flatnonzero(np.isin(signed(least), batch.column(3)[i].values.to_numpy()) if exact else repeated(least))
                 words = text.split() if len(keep) else []
                 for m, a, k in zip(signed(least[keep]).tolist(), first[keep].tolist(), n[keep].tolist()):
                     for column, value in zip(out, (key, t, m, a, b" ".join(words[a : a + k + width - 1]))):
@@ -89,7 +102,7 @@ def _packed(rows: DataFrame, repeated: Filter, width: int, gram: int) -> DataFra
     def record(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "_t", "minimiser", "first", "packed"])
 
-    return rows.where("doc_id IS NOT NULL").select("doc_id", "text", "_t").mapInArrow(tidy(cut), "doc_id long, _t long, minimiser long, first int, packed binary")
+    return rows.mapInArrow(tidy(cut), "doc_id long, _t long, minimiser long, first int, packed binary")
 
 
 def window_ranks(words: np.ndarray, width: int) -> np.ndarray:
@@ -183,16 +196,17 @@ def _by_window(strings: DataFrame, width: int) -> DataFrame:
     return each.join(least, "h").select("_p1", "_p2", "at", F.lit(1).alias("n"), "smallest")
 
 
-def repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, hot_strings: int = HOT_STRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, hot_strings: int = HOT_STRINGS, filter_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, _t, runs: the runs (window, windows) of each id and text whose
     words also start in a document with a smaller id."""
     rows = _keyed(docs, id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(rows, _repeated(rows, width, gram), width, gram)
+    packed = _packed(rows, width, gram, filter_bits)
     packed = written(packed.withColumns({"_p1": F.xxhash64("minimiser", "packed"), "_p2": F.xxhash64("packed", "minimiser")}), "super-kmers")
     # Equal strings count once, with their smallest document, from each task on.
     strings = written(packed.groupBy("minimiser", "packed", "_p1", "_p2").agg(F.min("doc_id").alias("smallest")), "strings")
     hot = written(strings.groupBy("minimiser").agg(F.count("*").alias("c")).where(F.col("c") > hot_strings).select("minimiser"), "hot")
+    size = strings.agg(F.sum(F.length("packed"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
     runs = _in_buckets(strings.join(hot, "minimiser", "left_anti"), width, parts)
     if hot.limit(1).count():
         runs = runs.unionByName(_by_window(strings.join(hot, "minimiser", "left_semi"), width))
@@ -207,6 +221,7 @@ def without_repeats(
     width: int = WINDOW,
     gram: int = GRAM,
     hot_strings: int = HOT_STRINGS,
+    filter_bits: int = MOST_BITS,
     counts: bool = True,
     keep_emptied: bool = True,
     id_col: str = "doc_id",
@@ -223,7 +238,7 @@ def without_repeats(
     whatever their names, stay as they are; texts of any length are whole.
     Without ``keep_emptied`` rows that lose all their words go.
     """
-    found = repeats(docs, width, gram, hot_strings, id_col, text_col).select(F.col("doc_id").alias("_k2"), F.col("_t").alias("_t2"), F.col("runs").alias("_runs"))
+    found = repeats(docs, width, gram, hot_strings, filter_bits, id_col, text_col).select(F.col("doc_id").alias("_k2"), F.col("_t").alias("_t2"), F.col("runs").alias("_runs"))
     new = ("n_words", "n_removed") if counts else ()
     others = [c for c in docs.columns if c not in (*new, text_col)]
     text = docs[f"`{text_col}`"].cast("string")

@@ -66,9 +66,9 @@ def brute_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
-def test_substrings(spark, docs, rows, hot):
-    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.without_repeats(docs, digest=True, hot_strings=hot).collect()}
+@pytest.mark.parametrize("hot,bits", [(2_000, 1 << 28), (1, 1 << 28), (2_000, 0)])
+def test_substrings(spark, docs, rows, hot, bits):
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.without_repeats(docs, digest=True, hot_strings=hot, filter_bits=bits).collect()}
     assert got == brute_repeats(rows, 50)
 
 
