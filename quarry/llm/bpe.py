@@ -109,7 +109,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
         self.db.execute(_MERGES)
         self.db.execute(_TAME)
-        self.known = Known()
+        self.known = Known(1_500_000)
         self._empty()
 
     def _empty(self) -> None:

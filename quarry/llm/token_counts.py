@@ -142,7 +142,7 @@ def _rows_left(words: list[bytes], vocab: JsonVocab) -> np.ndarray:
 
 class _Counter:
     def __init__(self, path: str):
-        self.vocab, self.known = json_vocab(path), Known()
+        self.vocab, self.known = json_vocab(path), Known(1_500_000)
         self.lengths = np.zeros(0, np.int64)
 
     def counts(self, texts: list[str]) -> np.ndarray:
