@@ -30,6 +30,9 @@ def _row(pos: int, title: str, href: str, display: str = "", snippet: str = "")
     return {"pos": pos, "title": title.strip(), "href": href, "display_url": display.strip(), "snippet": snippet.strip()}
 
 
+# The selectors in the walkers below are those of the providers' pages.
+
+
 def _lite(tree: Node, html: str) -> list[dict]:
     snippets = [n.text() for n in tree.select("td.result-snippet")]
     links = tree.select("a.result-link")
