@@ -7,6 +7,7 @@ import functools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 from quarry.functions.lexicon import DROPPED_TAGS
 
@@ -54,13 +55,13 @@ class Node:
         return name in self.attrs.get("class", "").split()
 
 
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?=)'([^']*)')?\]")
+_SIMPLE = re.compile(r":nth-child\((\d+)\)|([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?=)'([^']*)')?\]")
 
 
 @functools.cache
 def _compiled(selector: str) -> list[list[tuple[str, list[tuple]]]]:
     """For each alternative its compounds from the last one back, each with the
-    combinator to the one before it."""
+    combinator to the one before it; a leading ">" means a child of the top."""
     out = []
     for part in selector.split(","):
         chain, combinator = [], " "
@@ -75,7 +76,9 @@ def _compiled(selector: str) -> list[list[tuple[str, list[tuple]]]]:
 
 
 def _is(n: Node, tests: list[tuple]) -> bool:
-    for tag, cls, id_, attr, op, value in tests:
+    for nth, tag, cls, id_, attr, op, value in tests:
+        if nth and (n.parent is None or next(islice((c for c in n.parent.children if isinstance(c, Node)), int(nth) - 1, None), None) is not n):
+            return False
         if tag and n.tag != tag.lower() or cls and not n.has_class(cls) or id_ and n.attrs.get("id") != id_:
             return False
         if attr and (attr not in n.attrs or op == "=" and n.attrs[attr] != value or op == "*=" and value not in n.attrs[attr]):
@@ -87,7 +90,7 @@ def _matches(n: Node, chain: list[tuple[str, list[tuple]]], top: Node) -> bool:
     if not _is(n, chain[0][1]):
         return False
     if len(chain) == 1:
-        return True
+        return chain[0][0] != ">" or n.parent is top
     up = n.parent
     while up is not None:
         if _matches(up, chain[1:], top):

@@ -115,6 +115,22 @@ def test_result_pages(spark, page):
     assert [(r["query_id"], r["title"], r["url"], r["snippet"]) for r in serp.hits(df, page).collect()] == [(1, "T", "https://e.org/", "S")]
 
 
+def test_other_layouts(spark):
+    yahoo = "<div><div><div class='compTitle'><span><a href='https://e.org/'>T</a></span></div></div><p class='compText'>S</p></div><div><div class='compTitle'><b>none</b></div></div>"
+    google = "<div><div><a href='https://e.org/'><span>T</span></a><p>x</p></div><div><table><tr><td>S</td></tr></table></div></div><div><p>x</p><div><table></table></div></div>"
+    for page, html in {"yahoo": yahoo, "google_wml": google}.items():
+        df = spark.createDataFrame([(1, html)], "query_id long, payload string")
+        assert [(r["pos"], r["title"], r["url"], r["snippet"]) for r in serp.hits(df, page).collect()] == [(0, "T", "https://e.org/", "S")]
+    labelled = "<div class='dd algo'><h3><a href='https://e.org/' aria-label='L'>T</a></h3></div><div class='compTitle'><a href='https://no.org/'>N</a></div>"
+    df = spark.createDataFrame([(1, labelled)], "query_id long, payload string")
+    assert [(r["title"], r["url"]) for r in serp.hits(df, "yahoo").collect()] == [("L", "https://e.org/")]
+
+
+def test_selectors_of_children():
+    tree = dom.parse("<div id='x'>t<div><a>1</a></div>t<div><p><a>2</a></p></div></div>").first("#x")
+    assert tree.first("> div:nth-child(1) > a").text() == "1" and tree.first("> div:nth-child(2) a").text() == "2" and tree.first("> a") is None
+
+
 def test_challenges(spark):
     pages = {"duckduckgo_lite": "captcha", "duckduckgo": "<form id='challenge-form'></form>", "mojeek": "<head><title>CAPTCHA</title></head><div class='captcha-wrap'><p>JavaScript is required</p></div>", "google_wml": "/sorry/", "brave": "<div class='captcha'></div>"}
     for page, html in pages.items():
