@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import sql_alower, sql_string, sql_words
+from quarry.functions.expr import SPACES, sql_alower, sql_string, sql_words
 from quarry.operators import chunking, ranking
 from quarry.options import RankingPolicy
 from quarry.plans.q_text import sql_anchors, sql_distinct, sql_subjects
@@ -141,6 +141,7 @@ pre AS (SELECT s.query_id, s.doc_id, s.passage_index, s.score, row_number() OVER
         FROM s JOIN p USING (query_id, doc_id, passage_index) JOIN a USING (query_id)),
 hy AS (SELECT pre.*, CASE WHEN max(score) OVER w > 1.1920929e-07 THEN score / max(score) OVER w ELSE 0 END AS share, CASE WHEN to_embed THEN list_cosine_similarity(v.embedding::DOUBLE[], qv.embedding::DOUBLE[]) END AS dense
        FROM pre JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings qv ON qv.vec_id = query_id WINDOW w AS (PARTITION BY query_id))"""
+_TRIM = rf"regexp_replace(t, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 ORACLES = {
     "chunk_words": f"WITH {_chunk_sql()} SELECT doc_id, passage_index::BIGINT AS passage_index, md5(text) AS text_md5 FROM c",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, passage_index)::INT AS rank, doc_id, passage_index::BIGINT AS passage_index, round(score, 6) AS score FROM s QUALIFY rank <= {TOP}",
@@ -149,4 +150,13 @@ ORACLES = {
     "entity_penalty": f"WITH {_CALIBRATED} SELECT query_id, count(*) FILTER (missing) AS penalised, count(*) AS passages, min(CASE WHEN missing THEN 0.1 ELSE 0.9 END)::DOUBLE AS least FROM y GROUP BY query_id",
     "cosine_topk": f"SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, v.vec_id LIMIT {TOP}",
     "hybrid_rank": f"WITH {_HYBRID} SELECT query_id, doc_id, passage_index::BIGINT AS passage_index, to_embed, round(dense, 4) AS dense_score, round(least(greatest(CASE WHEN to_embed THEN 0.65 * least(greatest(dense, 0), 1) + 0.35 * share ELSE share END, 0), 1), 4) AS score FROM hy",
+    # A block of a document is a step; cur holds the blocks of the passage that grows, out those that the step ends.
+    "chunk_paragraphs": f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {{'t': {_TRIM}, 'n': len({sql_words('t')})}}), lambda x: x.n > 0) AS bs FROM documents),
+      f AS (SELECT doc_id, 0::BIGINT AS i, []::STRUCT(t VARCHAR, n BIGINT)[] AS cur, []::VARCHAR[] AS out FROM b
+        UNION ALL SELECT doc_id, i + 1, CASE WHEN last OR b.n > 60 THEN [] WHEN full_ THEN list_append(tail, b) ELSE list_append(cur, b) END,
+          CASE WHEN (last OR full_ OR b.n > 60) AND len(cur) > 0 THEN [array_to_string(list_transform(cur, lambda x: x.t), chr(10) || chr(10))] ELSE [] END
+          || CASE WHEN b.n > 60 THEN list_transform(range(ceil((b.n - 60) / 45.0)::BIGINT + 1), lambda k: array_to_string({sql_words('b.t')}[k * 45 + 1:k * 45 + 60], ' ')) ELSE [] END
+        FROM (SELECT f.doc_id, f.i, f.cur, bs[f.i + 1] AS b, f.i = len(bs) AS last, len(cur) > 0 AND coalesce(list_sum(list_transform(cur, lambda x: x.n)), 0) + bs[f.i + 1].n > 60 AS full_,
+            cur[list_min(list_filter(range(1, len(cur) + 1), lambda j: j = len(cur) OR list_sum(list_transform(cur[j:], lambda x: x.n)) <= 15)):] AS tail FROM f JOIN b USING (doc_id) WHERE f.i <= len(bs)))
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS passage_index, md5(text) AS text_md5 FROM (SELECT doc_id, i, unnest(out) AS text, generate_subscripts(out, 1) AS k FROM f)""",
 }

@@ -110,4 +110,18 @@ ORACLES = {
     "parse_news_rss": _feed_sql("news_rss", RSS, "<item>", 8, _plain("title"), _plain("link"), "", f"concat_ws(' · ', nullif({_PUB}, ''), nullif({_plain('pubDate')}, ''))"),
     "ssrf_v4": f"""WITH i AS (SELECT unnest([{", ".join(map(sql_string, IPS))}]) AS ip), o AS (SELECT ip, CASE WHEN regexp_full_match(ip, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN list_transform(string_split(ip, '.'), lambda x: x::BIGINT) END AS o FROM i),
       n AS (SELECT ip, CASE WHEN list_max(o) <= 255 THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM o) SELECT ip, NOT ({" OR ".join(map(_cidr, DENIED_V4))}) AS safe FROM n""",
+    # A hop is a step of the recursion; a page that leads nowhere ends it.
+    "redirects": f"""WITH RECURSIVE web AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else sql_string(x) for x in r) + ")" for r in WEB)}) AS t(u, status, location, body)),
+      s AS (SELECT unnest([{", ".join(map(sql_string, START))}]) AS url),
+      f AS (SELECT url, url AS here, 0 AS hop, NULL::VARCHAR AS body, NULL::VARCHAR AS error, false AS done FROM s
+        UNION ALL SELECT url, CASE WHEN e IS NULL AND redirect THEN target ELSE here END, hop + 1, CASE WHEN e IS NULL AND NOT redirect THEN b END, e, e IS NOT NULL OR NOT redirect FROM (
+          SELECT *, CASE WHEN NOT regexp_matches(here, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'invalid url' WHEN NOT regexp_matches(here, '^https?:') THEN 'unsupported scheme' WHEN NOT safe THEN 'blocked address' WHEN u IS NULL THEN 'no answer'
+            WHEN redirect AND hop >= {egress.MAX_HOPS} THEN 'too many redirects' WHEN redirect AND location IS NULL THEN 'redirect without location' WHEN redirect AND NOT regexp_matches(target, '^https?://') THEN 'unsupported scheme'
+            WHEN NOT redirect AND NOT status BETWEEN 200 AND 299 THEN 'status ' || status END AS e
+          FROM (SELECT f.url, f.here, f.hop, w.u, w.status, w.location, w.body AS b, coalesce(w.status BETWEEN 300 AND 399, false) AS redirect,
+              regexp_extract(f.here, '//([^/?#]*)', 1) IN ('a.example.com', 'b.example.com', 'c.example.com', 'd.example.com', 'e.example.com', 'loop.example.com') AS safe,
+              CASE WHEN regexp_matches(w.location, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN w.location WHEN starts_with(w.location, '//') THEN regexp_extract(f.here, '^[^:]+:') || w.location
+                WHEN starts_with(w.location, '/') THEN regexp_extract(f.here, '^[^:]+://[^/?#]*') || w.location ELSE regexp_extract(f.here, '^[^?#]*/') || w.location END AS target
+            FROM f LEFT JOIN web w ON w.u = f.here WHERE NOT f.done)))
+      SELECT url, here AS final_url, hop::INT AS hop_count, body, error FROM f WHERE done""",
 }

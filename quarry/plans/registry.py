@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_calibrated"
-MODULES: tuple[str, ...] = ("q_text", "q_urls", "q_rank", "q_pages", "q_state", "q_verify", "q_sources", "q_search")
+MODULES: tuple[str, ...] = ("q_text", "q_urls", "q_rank", "q_pages", "q_state", "q_verify", "q_sources", "q_search", "q_result_pages")
 
 
 def _all(what: str) -> dict:
