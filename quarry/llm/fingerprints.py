@@ -27,7 +27,8 @@ from quarry.llm.wordhash import WordHashes
 
 #: Every so many-th id is a query of the radius search.
 BITS, RADIUS, QUERY_EVERY = 256, 7, 20
-_NULL_RANGES = 16
+#: Ranges of rows without an id; rows that a task has at least, if there are more ranges than shuffle partitions.
+_NULL_RANGES, _ROWS_OF_TASK = 16, 8_000
 
 
 _WORDS_AT_ONCE = 100_000
@@ -127,37 +128,47 @@ def with_neighbours(marked: DataFrame, every: int = QUERY_EVERY, radius: int = R
     return queries.unionByName(marked.where(F.coalesce(~asked, F.lit(True))).withColumn("near_others", F.lit(None).cast("long")))
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array of numbers as one literal, however many there are."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _in_ranges(texts: DataFrame, rows_per_range: int, most_ranges: int) -> DataFrame:
     """doc_id, text, _range, _kind: 1 for a document, 2 for the document that
-    follows a range's last one, 0 for the one that follows rows without an id."""
+    follows a range's last one, 0 for the one that follows rows without an id;
+    in partitions of neighbouring ranges, as many as the table needs."""
     n, ids = texts.count(), texts.select("doc_id").where("doc_id IS NOT NULL")
     wanted = max(1, min(most_ranges, -(-n // rows_per_range)))
-    bounds = ids.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)] or [0.5], 100_000)).first()[0] or []
+    shares = _literal([k / wanted for k in range(1, wanted)] or [0.5], "double")
+    bounds = ids.agg(F.percentile_approx("doc_id", shares, max(100_000, 8 * wanted))).first()[0] or []
     bounds = sorted(set(bounds))
-    side = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[i : i + side] for i in range(0, len(bounds), side)] or [[]]
+    side, ranges = max(1, round(len(bounds) ** 0.5)), len(bounds) + 1
 
     def range_of(x: Column) -> Column:
-        """How many bounds are below x, counted in one row of them."""
+        """How many bounds are below x, counted in one stretch of them."""
         if not bounds:
             return F.lit(0)
         below = lambda values: F.size(F.filter(values, lambda b: b < x))
-        row = F.greatest(below(F.array(*[F.lit(r[0]) for r in rows])) - 1, F.lit(0))
-        return row * side + below(F.get(F.array(*[F.array(*map(F.lit, r)) for r in rows]), row))
+        stretch = F.greatest(below(_literal(bounds[::side], "bigint")) - 1, F.lit(0)) * side
+        return stretch + below(F.slice(_literal(bounds, "bigint"), stretch + 1, F.lit(side)))
 
-    numbered = texts.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(_NULL_RANGES)).cast("int")).otherwise(range_of(F.col("doc_id")).cast("int")))
+    numbered = texts.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(ranges) + F.pmod(F.xxhash64("text"), F.lit(_NULL_RANGES)).cast("int")).otherwise(range_of(F.col("doc_id")).cast("int")))
     # At most `most_ranges` rows: the smallest id of each range.
     firsts = sorted((r["_range"], r["f"]) for r in numbered.select("_range", "doc_id").where("doc_id IS NOT NULL").groupBy("_range").agg(F.min("doc_id").alias("f")).collect())
-    if not firsts:
-        return numbered.withColumn("_kind", F.lit(1))
-    sent = {first: [(firsts[k - 1][0], 2)] for k, (_, first) in enumerate(firsts)}
-    sent[firsts[0][1]] += [(len(bounds) + 1 + s, 0) for s in range(_NULL_RANGES)]
-    table = texts.sparkSession.createDataFrame([(f, r, k) for f, to in sent.items() for r, k in to], "_first long, _to int, _as int")
-    along = numbered.join(F.broadcast(table), F.col("doc_id") == F.col("_first")).select("doc_id", "text", F.col("_to").alias("_range"), F.col("_as").alias("_kind"))
-    return numbered.withColumn("_kind", F.lit(1)).unionByName(along)
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2_000, most_ranges: int = 4_096) -> DataFrame:
+    dealt = numbered.withColumn("_kind", F.lit(1))
+    if firsts:
+        sent = {first: [(firsts[k - 1][0], 2)] for k, (_, first) in enumerate(firsts)}
+        sent[firsts[0][1]] += [(ranges + s, 0) for s in range(_NULL_RANGES)]
+        table = texts.sparkSession.createDataFrame([(f, r, k) for f, to in sent.items() for r, k in to], "_first long, _to int, _as int")
+        along = numbered.join(F.broadcast(table), F.col("doc_id") == F.col("_first")).select("doc_id", "text", F.col("_to").alias("_range"), F.col("_as").alias("_kind"))
+        dealt = dealt.unionByName(along)
+    shuffles = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(ranges, max(shuffles, n // _ROWS_OF_TASK)))
+    own = F.when(F.col("_range") < ranges, F.floor(F.col("_range").cast("long") * parts / ranges)).otherwise(F.col("_range")).cast("int")
+    return dealt.repartitionById(parts, own)
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2_000, most_ranges: int = 65_536) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next of every row.
 
@@ -165,12 +176,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     the first, and so is each row without an id.  In a table without any id a
     row follows itself.  Null texts count as empty, a document alone follows
     itself; an empty table gives an empty table; other columns are not read;
-    texts of any length count whole, in votes of whole numbers.
+    texts of any length count whole, in votes of whole numbers.  Beyond
+    ``rows_per_range`` * ``most_ranges`` rows ranges hold more rows each.
     """
     texts = id_and_text(docs, id_col, text_col)
-    dealt = _in_ranges(texts, rows_per_range, most_ranges)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_kind", "doc_id", "text")
+    dealt = _in_ranges(texts, rows_per_range, most_ranges).sortWithinPartitions("_range", "_kind", "doc_id", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
