@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import alower, col, strings, trim_ws
+from quarry.functions.expr import alower, col, let, strings, trim_ws
 from quarry.functions.lexicon import SECOND_LEVEL, TRACKING_PARAMS
 
 _WHOLE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -66,11 +66,10 @@ def domain(url: Column | str) -> Column:
 
 
 def apex_domain(url: Column | str) -> Column:
-    labels = F.split(domain(url), r"\.")
-    n = F.size(labels)
-    last = lambda k: F.try_element_at(labels, F.lit(-k))
-    country = (F.length(last(1)) == 2) & last(2).isin(SECOND_LEVEL)
-    return F.when(n <= 2, domain(url)).when(country, F.concat_ws(".", last(3), last(2), last(1))).otherwise(F.concat_ws(".", last(2), last(1)))
+    last = lambda labels, k: F.try_element_at(labels, F.lit(-k))
+    end = lambda labels, n: F.concat_ws(".", *[last(labels, k) for k in range(n, 0, -1)])
+    country = lambda labels: (F.length(last(labels, 1)) == 2) & last(labels, 2).isin(SECOND_LEVEL)
+    return let(F.split(domain(url), r"\."), lambda x: F.when(F.size(x) <= 2, F.array_join(x, ".")).when(country(x), end(x, 3)).otherwise(end(x, 2)))
 
 
 def _form_decode(c: Column) -> Column:

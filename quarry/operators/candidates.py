@@ -77,12 +77,18 @@ def outcome(metrics: DataFrame) -> DataFrame:
     return done.withColumn("failed_all", (F.col("attempted") > 0) & (F.col("succeeded") == 0))
 
 
-def interleaved(hits: DataFrame) -> DataFrame:
-    """The first hit of each URL key, round by round; ``ord`` is its place."""
+def firsts(hits: DataFrame) -> DataFrame:
+    """The first hit of each URL key of a query, with ``url_key``; ``ord`` is
+    (pos, batch_ord), by which they follow one another round by round."""
     keyed = hits.withColumn("url_key", url_key("url"))
     first = Window.partitionBy("query_id", "url_key").orderBy("pos", "batch_ord")
     kept = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "batch_ord")))
+    return kept.withColumn("ord", F.struct("pos", "batch_ord"))
+
+
+def interleaved(hits: DataFrame) -> DataFrame:
+    """The first hit of each URL key, round by round; ``ord`` is its place."""
+    return firsts(hits).withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("ord")))
 
 
 def consensus(hits: DataFrame) -> DataFrame:
@@ -91,10 +97,19 @@ def consensus(hits: DataFrame) -> DataFrame:
     return keyed.groupBy("query_id", "url_key").agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
 
 
-def candidate_score() -> Column:
-    """How well a hit (query, url, title, snippet) suits its query."""
-    hay, title = alower(F.concat_ws(" ", "url", "title", "snippet")), alower("title")
-    anchors, subjects, domains = u.anchors("query"), u.subject_tokens("query"), u.intent_domains("query")
+def understood(queries: DataFrame) -> DataFrame:
+    """``queries`` with what ``candidate_score`` needs of their text, worked out
+    before a query is repeated for its hits."""
+    return queries.withColumns({"_anchors": u.anchors("query"), "_subjects": u.subject_tokens("query"), "_domains": u.intent_domains("query")})
+
+
+def with_candidate_score(hits: DataFrame) -> DataFrame:
+    """``hits`` (query, url, title, snippet) with ``candidate_score``: how well
+    a hit suits its query.  The texts searched have columns, so that they are
+    worked out once for a hit and not for each token."""
+    own = hits if "_anchors" in hits.columns else understood(hits)
+    own = own.withColumns({"_hay": alower(F.concat_ws(" ", "url", "title", "snippet")), "_title": alower("title")})
+    hay, title, anchors, subjects, domains = map(F.col, ("_hay", "_title", "_anchors", "_subjects", "_domains"))
     has = lambda h, t: F.contains(h, t)
     add = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0), lambda a, x: a + x)
     metric = lambda s: F.array_contains(strings(lex.METRIC_WORDS), s)
@@ -110,18 +125,19 @@ def candidate_score() -> Column:
         - F.when(u.discussion_intent("query") & F.contains("url", F.lit("wikipedia.org")), F.lit(2)).otherwise(F.lit(0))
     )
     known = (F.size(anchors) > 0) | (F.size(subjects) > 0) | (F.size(domains) > 0)
-    return F.when(known, score).otherwise(F.lit(0))
+    return own.withColumn("candidate_score", F.when(known, score).otherwise(F.lit(0))).drop("_hay", "_title", "_anchors", "_subjects", "_domains")
 
 
 def ordered(hits: DataFrame, most: int) -> DataFrame:
     """At most ``most`` hits of each query (with ``ord``) in the order to fetch,
     ``fetch_ord`` from 1: the best first; of a larger pool one of each site
     first, then a second one, and no more."""
-    scored = hits.withColumn("candidate_score", candidate_score())
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("candidate_score"), "ord")
-    ranked = scored.withColumn("_r", F.row_number().over(by_score)).withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    site = Window.partitionBy("query_id", "_site").orderBy("_r")
-    sited = ranked.withColumn("_site", apex_domain("url")).withColumn("_turn", F.row_number().over(site))
-    sited = sited.withColumn("_turn", F.when(F.col("_n") <= most, F.lit(1)).otherwise(F.col("_turn"))).where("_turn <= 2")
-    place = Window.partitionBy("query_id").orderBy("_turn", "_r")
-    return sited.withColumn("fetch_ord", F.row_number().over(place)).where(F.col("fetch_ord") <= most).drop("_r", "_n", "_site", "_turn")
+    best = (F.desc("candidate_score"), "ord")
+    site = Window.partitionBy("query_id", "_site").orderBy(*best)
+    own = Window.partitionBy("query_id")
+    # Tasks keep ``most + 1`` of a site and then of a query before rows move: enough to tell whether the pool is larger, and for the result in either case.
+    scored = with_candidate_score(hits).withColumn("_site", apex_domain("url"))
+    few = scored.withColumn("_turn", F.row_number().over(site)).where(F.col("_turn") <= most + 1)
+    few = few.withColumn("_r", F.row_number().over(own.orderBy("_turn", *best))).where(F.col("_r") <= most + 1)
+    sited = few.withColumn("_turn", F.when(F.count("*").over(own) <= most, F.lit(1)).otherwise(F.col("_turn"))).where("_turn <= 2")
+    return sited.withColumn("fetch_ord", F.row_number().over(own.orderBy("_turn", *best))).where(F.col("fetch_ord") <= most).drop("_r", "_site", "_turn")

@@ -13,6 +13,7 @@ from quarry.functions import dom
 from quarry.functions import pages as p
 from quarry.functions.expr import trim_ws
 from quarry.options import SearchOptions
+from quarry.store import written
 
 MAX_CHARS = 30_000
 
@@ -46,7 +47,8 @@ def gated(pages: DataFrame, options: SearchOptions = SearchOptions()) -> DataFra
     Empty pages, challenges and code go; pages in another script wait, and the
     first of them is let in only if no other page of its query is left."""
     fetched = pages.where(trim_ws(F.coalesce("html", F.lit(""))) != "")
-    read = documents(fetched, options.max_page_chars)
+    # Written, as each gate would work out the text again.
+    read = written(documents(fetched, options.max_page_chars), "read")
     read = read.where(~p.is_challenge("title", "markdown")).where(~p.is_code_like("markdown"))
     read = read.withColumn("_waits", p.other_script("url", "query"))
     own = Window.partitionBy("query_id")

@@ -48,8 +48,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lists made of pages: page n stands in the list of provider n % 5
     for query n % 7, in the order of n; twins of every tenth page in another."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.coalesce(p.scan_tag("html", "title"), F.lit("")).alias("title"))
-    twins = pages.where("page_id % 10 = 0").select("page_id", F.lit(3).alias("step"), "url", "title")
-    both = pages.select("page_id", F.lit(0).alias("step"), "url", "title").unionByName(twins)
+    steps = F.when(F.col("page_id") % 10 == 0, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    both = pages.select("page_id", F.explode(steps).alias("step"), "url", "title")
     asked = F.array(*[F.lit(SAMPLE[i]) for i in range(7)])
     engines = F.array(*map(F.lit, lex.DEFAULT_PROVIDERS))
     placed = both.select((F.col("page_id") % 7).alias("query_id"), ((F.col("page_id") + F.col("step")) % 5).cast("int").alias("batch_ord"), "page_id", "url", "title", F.lit("").alias("snippet"))
@@ -68,7 +68,7 @@ def consensus_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.ordered(c.interleaved(hits(spark, sf_dir)), 8).select("query_id", "fetch_ord", "page_id", "candidate_score")
+    return c.ordered(c.firsts(hits(spark, sf_dir)), 8).select("query_id", "fetch_ord", "page_id", "candidate_score")
 
 
 _TRIM = f"regexp_replace({{x}}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"

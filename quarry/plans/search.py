@@ -3,7 +3,7 @@
 ``queries`` has query_id and query; ``hits`` the providers' result lists (see
 quarry.operators.candidates); ``fetched`` what addresses answered (url, body,
 content_type, error), or a function that fetches a table of url and fetch_ord.  What several later steps need is written once, to the
-shared folder: hits in order, pages, ranked passages and what is delivered.
+shared folder: queries, hits, wanted pages as they answered and as they are read, ranked passages and what is delivered.
 """
 
 from __future__ import annotations
@@ -35,15 +35,20 @@ def search(
     queries: DataFrame, hits: DataFrame, fetched: DataFrame | Callable[[DataFrame], DataFrame], options: SearchOptions = SearchOptions(), engine: EngineOptions = EngineOptions(), embed: Callable[[list[str]], list[list[float]]] | None = None
 ) -> SearchResult:
     asked = queries.select("query_id", F.trim("query").alias("query")).where("query <> ''")
+    # Written, its size is known: a few queries are broadcast, and their hits stay spread.
+    understood = written(candidates.understood(asked), "asked")
+    asked = understood.select("query_id", "query")
     own = hits.join(asked, "query_id", "left_semi")
     own = written(own, "hits")
-    listed = written(candidates.interleaved(own), "listed")
+    listed = written(candidates.firsts(own), "listed")
     agreed = candidates.consensus(own)
-    wanted = written(candidates.ordered(listed.drop("query").join(asked, "query_id"), options.pool), "wanted")
+    wanted = written(candidates.ordered(listed.drop("query").join(understood, "query_id"), options.pool), "wanted")
     if callable(fetched):
         fetched = written(fetched(wanted.groupBy("url").agg(F.min("fetch_ord").alias("fetch_ord"))), "fetched")
     answers = fetched.where("error IS NULL").select("url", F.col("body").alias("html"))
-    pages = written(extraction.gated(wanted.select("query_id", "query", "fetch_ord", "url").join(answers, "url"), options), "pages")
+    # Written as they are: what asks for a title or a text would be worked out for all that was fetched, as filters move below a join.
+    answered = written(wanted.select("query_id", "query", "fetch_ord", "url").join(answers, "url"), "answered")
+    pages = written(extraction.gated(answered, options), "pages")
     cut = written(chunking.passages(pages.select("query_id", "query", "page_ord", F.col("url").alias("source_url"), F.col("title").alias("source_title"), "markdown"), options.chunk_words, options.chunk_overlap), "passages")
     generated = cut.groupBy("query_id").agg(F.count("*").alias("generated"))
     best = written(ranking.ranked(cut, options.ranking_mode, embed, agreed, engine.ranking), "ranked")
