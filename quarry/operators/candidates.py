@@ -88,7 +88,7 @@ def firsts(hits: DataFrame) -> DataFrame:
 
 def interleaved(hits: DataFrame) -> DataFrame:
     """The first hit of each URL key, round by round; ``ord`` is its place."""
-    return firsts(hits).withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("ord")))
+    return firsts(hits).withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "batch_ord")))
 
 
 def consensus(hits: DataFrame) -> DataFrame:
